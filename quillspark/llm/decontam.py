@@ -74,5 +74,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks=MASKS, overlap: fl
     return _verified(hits, overlap)
 
 
+def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """docs without those that contaminated() finds, with all their columns."""
+    found = contaminated(docs, benchmark, **options).select("doc_id").distinct().alias("c")
+    return docs.alias("d").join(found, F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")), "left_anti")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -198,6 +198,18 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda batches: _score(model, batches), OUT)
 
 
+def identified(docs: DataFrame, model: dict) -> DataFrame:
+    """docs without the rows that are `und`, with all their columns."""
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pair = pa.RecordBatch.from_arrays([pa.nulls(len(batch), pa.int64()), batch.column(batch.schema.get_field_index("text"))], ["doc_id", "text"])
+            said = pa.chunked_array([b.column(1) for b in _score(model, iter([pair]))], pa.string())
+            yield batch.filter(pa.array([x != "und" for x in said.to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2).alias("held_out")

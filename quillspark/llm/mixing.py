@@ -81,6 +81,24 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, tilts=TILTS, bucket_
     return out.select("doc_id", "size", "source_size", "target", "taken", "source", "positions", F.coalesce(F.get("positions", F.lit(0)), F.lit(2.0)).alias("position")).repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """docs as the mix takes them, in training order, with the columns they had: a row for each time that a document is
+    taken; the one on which a source's words end has its leading words only (and n_chars, if there is one, of
+    those). Documents that are not taken, among them those without words, are not there."""
+    key = ["doc_id", "source", "size"]
+    plan = mix(docs, **options).where("taken > 0").withColumn("copy", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("taken"), "position"))).alias("m")
+    sized = docs.withColumn("size", n_words(F.col("text"))) if "size" not in docs.columns else docs.withColumnRenamed("size", "_size").withColumn("size", n_words(F.col("text")))
+    sized = sized.withColumn("copy", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("text")))).alias("d")
+    rows = sized.join(plan, [F.col(f"d.{x}").eqNullSafe(F.col(f"m.{x}")) for x in (*key, "copy")]).select("d.*", F.posexplode("m.positions").alias("time", "_at"), "m.taken")
+    left = F.least(F.col("size"), F.col("taken") - F.col("time") * F.col("size")).cast("int")
+    lead = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, left), "")
+    rows = rows.withColumn("text", F.when(left >= F.col("size"), F.col("text")).otherwise(lead))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(left >= F.col("size"), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
+    out = rows.repartitionByRange("_at", "doc_id").sortWithinPartitions("_at", "doc_id")
+    return out.select(*[F.col("_size").alias("size") if c == "size" else c for c in docs.columns])
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 

@@ -15,7 +15,7 @@ LANES = 32
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) to (doc_id, fp long, copies long): the 64-bit SimHash of the 3-word shingles of each
+    """(doc_id, text) to (doc_id, th, fp long, copies long), th a hash of the text: the 64-bit SimHash of the 3-word shingles of each
     whole lower-cased text, and how many equal rows it stands for.
 
     A bit is 1 if it is set in over half of the shingles' XXH64 (seed 42). One or two words make one
@@ -31,7 +31,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     low = [f"if(2 * (s{i} & 4294967295L) > n, {1 << i}L, 0L)" for i in range(LANES)]
     high = [f"shiftleft(if(2 * shiftrightunsigned(s{i}, 32) > n, 1L, 0L), {i + LANES})" for i in range(LANES)]
     fp = reduce(lambda a, b: f"{a} | {b}", low + high)
-    return per.selectExpr("doc_id", f"coalesce({fp}, 0L) as fp", "copies")
+    return per.selectExpr("doc_id", "th", f"coalesce({fp}, 0L) as fp", "copies")
 
 
 def links(fps: DataFrame, crowd: int = 4096) -> DataFrame:
@@ -77,6 +77,16 @@ def links(fps: DataFrame, crowd: int = 4096) -> DataFrame:
     return met.distinct()
 
 
+def _grouped(docs: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """fingerprints() of docs, and for each fingerprint its component: (fp, root, component_id)."""
+    fp = cut(fingerprints(docs.select("doc_id", "text")))
+    nodes = cut(fp.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    roots = connected_components(links(nodes.select("fp"), crowd))
+    linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp")
+    named = linked.join(linked.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("fp", "root", "component_id")
+    return fp, nodes.join(named, "fp", "left").selectExpr("fp", "coalesce(root, fp) as root", "coalesce(component_id, rep) as component_id")
+
+
 def near_duplicates(docs: DataFrame, crowd: int = 4096) -> DataFrame:
     """(doc_id, text, ...) to one row per input row: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -85,15 +95,21 @@ def near_duplicates(docs: DataFrame, crowd: int = 4096) -> DataFrame:
     it has. Null and blank texts share fingerprint 0. Null doc_ids keep their rows; a component of null
     doc_ids only has a null component_id. Other columns are ignored; an empty table gives an empty result.
     """
-    fp = cut(fingerprints(docs.select("doc_id", "text")))
-    nodes = cut(fp.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    roots = connected_components(links(nodes.select("fp"), crowd))
-    linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp")
-    named = linked.join(linked.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("fp", "component_id")
-    ids = nodes.join(named, "fp", "left").selectExpr("fp", "coalesce(component_id, rep) as component_id")
+    fp, ids = _grouped(docs, crowd)
     out = fp.join(ids, "fp").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return out.selectExpr("doc_id", "lower(lpad(hex(fp), 16, '0')) as fingerprint", "component_id")
 
 
+def deduplicated(docs: DataFrame, crowd: int = 4096) -> DataFrame:
+    """docs with one row of each component, that of the smallest doc_id (nulls last; of its texts the one with the
+    smallest hash), and all their columns."""
+    fp, ids = _grouped(docs, crowd)
+    first = fp.join(ids, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("x"), F.max("copies").alias("copies"))
+    first = cut(first.select("x.doc_id", "x.th", "copies"))
+    d, f = docs.alias("d"), first.alias("f")
+    kept = d.join(f, F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.xxhash64("d.text") == F.col("f.th")), "left_semi")
+    return kept if first.where("copies > 1").isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
