@@ -1,5 +1,11 @@
 """The queries over the relational and document tables, and their SQL."""
 
+from quillspark.functions import text, values
+from quillspark.operators import aggregates, relational, windows
+from quillspark.plans import duplicates
+from quillspark.plans.registry import ORACLE_SQL, QUERIES
+
 FLAGSHIP = "dup_pairs"
-QUERIES = {}
-ORACLE_SQL = {}
+PARTS = (text, values, aggregates, relational, windows, duplicates)
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "PARTS", "QUERIES"]
