@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import table
+from quillspark.llm.common import cut, table
 
 #: Base kinds in their order: pattern, and the group and least length that a match must have.
 BASE = (
@@ -74,7 +74,7 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     columns are ignored; an empty table gives an empty result.
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    spans = _matches(base)
+    spans = cut(_matches(base))  # few rows, used for base spans, parts and candidates
     spans = spans.where(F.col("kind") < len(BASE)).union(_linked(spans, scope))
     per = spans.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("s")).alias("p")
     d = base.select("doc_id", F.xxhash64("text").alias("th")).alias("d")
