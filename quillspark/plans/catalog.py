@@ -1,12 +1,12 @@
 """The queries over the relational and document tables, and their SQL."""
 
-from quillspark.functions import text, values
+from quillspark.functions import strings, text, values
 from quillspark.operators import aggregates, relational, windows
 from quillspark.plans import checks, duplicates
 from quillspark.plans.registry import ORACLE_SQL, QUERIES
 from quillspark.streaming import ingest
 
 FLAGSHIP = "dup_pairs"
-PARTS = (text, values, aggregates, relational, windows, duplicates, checks, ingest)
+PARTS = (strings, text, values, aggregates, relational, windows, duplicates, checks, ingest)
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "PARTS", "QUERIES"]
