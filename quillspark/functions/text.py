@@ -80,10 +80,3 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey, lower(regexp_replace(p_name, '[^A-Za-z0-9]', '', 'g')) AS key FROM part")
 def alnum_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.lower(F.regexp_replace("p_name", "[^A-Za-z0-9]", "")).alias("key"))
-
-
-@query("WITH g AS (SELECT p_partkey, p_brand, list_distinct(list_transform(range(1, greatest(length(p_name), 2)), lambda i: substring(p_name, i, 2))) AS g FROM part) SELECT a.p_partkey AS l, b.p_partkey AS r, len(list_intersect(a.g, b.g))::DOUBLE / len(list_distinct(list_concat(a.g, b.g))) AS similarity FROM g a JOIN g b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey WHERE len(list_intersect(a.g, b.g))::DOUBLE / len(list_distinct(list_concat(a.g, b.g))) >= 0.5")
-def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = table(spark, sf_dir, "part").select("p_partkey", "p_brand", bigrams(F.col("p_name")).alias("g"))
-    pair = g.alias("a").join(g.alias("b"), F.expr("a.p_brand = b.p_brand and a.p_partkey < b.p_partkey"))
-    return pair.select(F.col("a.p_partkey").alias("l"), F.col("b.p_partkey").alias("r"), jaccard(F.col("a.g"), F.col("b.g")).alias("similarity")).where("similarity >= 0.5")

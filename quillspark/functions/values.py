@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,18 +44,43 @@ def date_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", F.try_to_date(F.regexp_extract(said, "(20[0-9]{2}|19[0-9]{2})-[0-9]{2}-[0-9]{2}", 0), "yyyy-MM-dd").alias("day"), said.alias("said"))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """The k most similar vectors of each query: a stated, small query set against all rows. Queries are broadcast; each
-    task keeps k for each query before the shuffle, by a ranked window within its block of vectors."""
-    pair = vectors.join(F.broadcast(queries), vectors.vec_id != queries.query_id)
-    scored = pair.select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("query")), 6).alias("similarity"), F.spark_partition_id().alias("block"))
-    order = [F.desc("similarity"), F.col("vec_id")]
-    few = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "block").orderBy(*order))).where(F.col("rank") <= k)
-    return few.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).drop("block")
-
-
-@query("WITH p AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS similarity FROM embeddings q, embeddings v WHERE q.vec_id < 5 AND q.vec_id <> v.vec_id) SELECT query_id, vec_id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS INTEGER) AS rank FROM p) WHERE rank <= 10")
-def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    q = v.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return nearest(q, v, 10).select("query_id", "vec_id", "rank")
+def cosine_blocks(queries: DataFrame, vectors: DataFrame, k: int, block: int = 1024) -> DataFrame:
+    """(vec_id, embedding) twice to query_id, vec_id, similarity, rank: the k most similar other vectors of each query, ties to
+    the smaller vec_id. Exact.
+
+    Both sides are packed into blocks of about `block` rows by a hash of vec_id, so nothing is broadcast and a task
+    holds two blocks; it multiplies them as matrices and keeps k for each query. Null ids and vectors are left
+    out; a vector of zeros is similar to nothing (0).
+    """
+    if queries.isEmpty() or vectors.isEmpty():
+        return queries.sparkSession.createDataFrame([], "query_id long, vec_id long, similarity double, rank int")
+
+    def packed(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        df = df.where("vec_id is not null and embedding is not null")
+        parts = max(1, -(-df.count() // block))
+        rows = df.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias(name)).agg(F.collect_list(F.struct("vec_id", "embedding")).alias(f"{name}_rows"))
+        return rows, parts
+
+    q, n_q = packed(queries, "q")
+    v, _ = packed(vectors, "v")
+    met = v.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))).join(q, "q")
+
+    def best(batches):
+        for frame in batches:
+            for qs, vs in zip(frame["q_rows"], frame["v_rows"]):
+                unit = lambda rows: _unit(np.array([r["embedding"] for r in rows], dtype="float64"))
+                qid, vid = np.array([r["vec_id"] for r in qs]), np.array([r["vec_id"] for r in vs])
+                near = np.round(unit(qs) @ unit(vs).T, 6)
+                near[qid[:, None] == vid[None, :]] = -np.inf
+                first = np.lexsort((np.broadcast_to(vid, near.shape), -near), axis=1)[:, :k]
+                out = pd.DataFrame({"query_id": np.repeat(qid, first.shape[1]), "vec_id": vid[first].ravel(), "similarity": np.take_along_axis(near, first, 1).ravel()})
+                yield out[np.isfinite(out["similarity"])]
+
+    few = met.select("q_rows", "v_rows").mapInPandas(best, "query_id long, vec_id long, similarity double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
+    return few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    length = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
