@@ -125,3 +125,79 @@ def run_group_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = l.withColumn("c", (~F.col("l_returnflag").eqNullSafe(F.lag("l_returnflag").over(w)) | (F.row_number().over(w) == 1)).cast("int"))
     g = l.withColumn("run", F.sum("c").over(w)).groupBy("l_orderkey", "run", "l_returnflag")
     return g.agg(F.min("l_linenumber").alias("first_line"), F.max("l_linenumber").alias("last_line"), F.sum("l_quantity").alias("total"), ((F.count("*") >= 2) & (F.countDistinct("l_quantity") == 1)).alias("repeated")).drop("run")
+
+
+#: A line stands in so many documents of a source from which on it is a running header.
+RUNNING = 3
+_RUNNING = "l AS (SELECT doc_id, source, regexp_replace(unnest(string_split(text, chr(10))), '[^0-9A-Za-z]', '', 'g') AS sig FROM documents)"
+
+
+@query(f"WITH {_RUNNING}, r AS (SELECT source, sig FROM l WHERE sig <> '' GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3) SELECT doc_id, count(*) AS lines FROM l WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.sig = l.sig AND r.source IS NOT DISTINCT FROM l.source) GROUP BY doc_id")
+def running_header_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines left once those are gone whose letters and digits stand in several documents of a source."""
+    line = table(spark, sf_dir, "documents").select("doc_id", "source", F.explode(F.split("text", "\n")).alias("line"))
+    line = line.select("doc_id", "source", F.sha2(F.regexp_replace("line", "[^0-9A-Za-z]", ""), 256).alias("sig"))
+    per = line.groupBy("source", "sig", "doc_id").agg(F.count("*").alias("n"))  # a hot line is one row of a document
+    often = per.where(F.col("sig") != F.sha2(F.lit(""), 256)).groupBy("source", "sig").agg(F.count("*").alias("docs")).where(F.col("docs") >= RUNNING).alias("o")
+    p = per.alias("p")
+    left = p.join(often, F.col("p.source").eqNullSafe(F.col("o.source")) & (F.col("p.sig") == F.col("o.sig")), "left_anti")
+    return left.groupBy("doc_id").agg(F.sum("n").alias("lines"))
+
+
+def dice(common: Column, left: Column, right: Column) -> Column:
+    """Dice's coefficient from counts; 0 if either set is empty."""
+    return F.when((left == 0) | (right == 0), 0.0).otherwise(2 * common / (left + right))
+
+
+def overlap(common: Column, left: Column, right: Column) -> Column:
+    return common / F.greatest(F.lit(1), F.least(left, right))
+
+
+def exact_score(sections: Column, blocks: Column, tables: Column, images: Column, identical: Column) -> Column:
+    score = F.least(F.round(0.40 * sections + 0.35 * blocks + 0.20 * tables + 0.05 * images, 4), F.lit(0.9999))
+    return F.when(identical, 1.0).otherwise(score)
+
+
+def exact_risk(identical: Column, score: Column, n_sections: Column, n_blocks: Column, n_tables: Column, n_images: Column, dice: Column) -> Column:
+    """The ladder of exact duplicates, from the highest rung down."""
+    high = identical | (n_tables >= 2) | (n_images >= 3) | ((score >= 0.35) & (n_sections >= 5))
+    medium = (n_sections >= 3) | (n_tables >= 1) | (n_images >= 2) | (n_blocks >= 5) | (dice >= 0.15)
+    return F.when(high, "high").when(medium, "medium").when((n_blocks >= 1) | (n_images >= 1), "low").otherwise("none")
+
+
+def similar_score(sections: Column, blocks: Column, tables: Column) -> Column:
+    return F.round(0.45 * sections + 0.35 * blocks + 0.20 * tables, 4)
+
+
+def similar_risk(exact: Column, score: Column, n_sections: Column, n_blocks: Column, n_tables: Column, block_ratio: Column) -> Column:
+    """The ladder of similar units; an exact risk of medium or high stays."""
+    high = ((n_tables >= 1) & (n_sections >= 1)) | ((score >= 0.6) & (n_blocks >= 3))
+    medium = ((n_sections >= 1) & (n_blocks >= 2)) | (n_tables >= 1) | (block_ratio >= 0.45)
+    out = F.when(exact.isin("high", "medium"), exact).when(high, "high").when(medium, "medium")
+    return out.when((n_blocks >= 1) | (block_ratio >= 0.3), "low").otherwise(exact)
+
+
+_SAID = "c AS (SELECT conv_id, role = 'user' AS mine, text FROM conversations), w AS (SELECT conv_id, x, bool_or(mine) AS l, bool_or(NOT mine) AS r FROM (SELECT conv_id, mine, unnest(string_split(text, ' ')) AS x FROM c) WHERE x <> '' GROUP BY ALL), s AS (SELECT conv_id, x, bool_or(mine) AS l, bool_or(NOT mine) AS r FROM (SELECT conv_id, mine, unnest(string_split(text, chr(10))) AS x FROM c) WHERE length(x) >= 8 GROUP BY ALL), b AS (SELECT conv_id, count(*) FILTER (l AND r) AS both_, count(*) FILTER (l) AS nl, count(*) FILTER (r) AS nr FROM w GROUP BY 1), k AS (SELECT conv_id, count(*) FILTER (l AND r) AS both_, count(*) FILTER (l) AS nl, count(*) FILTER (r) AS nr FROM s GROUP BY 1)"
+
+
+def _sides(spark: SparkSession, sf_dir: str, by: str, least: int) -> DataFrame:
+    """What the two sides of a conversation have in common: conv_id, both, nl, nr."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", (F.col("role") == "user").alias("mine"), F.explode(F.split("text", by)).alias("x")).where(F.char_length("x") >= least)
+    u = c.groupBy("conv_id", "x").agg(F.bool_or("mine").alias("l"), F.bool_or(~F.col("mine")).alias("r"))
+    return u.groupBy("conv_id").agg(F.count_if(F.col("l") & F.col("r")).alias("both"), F.count_if("l").alias("nl"), F.count_if("r").alias("nr"))
+
+
+@query(f"WITH {_SAID} SELECT conv_id, both_ AS common, CASE WHEN nl = 0 OR nr = 0 THEN 0 ELSE 2.0::DOUBLE * both_ / (nl + nr) END AS dice FROM b")
+def sentence_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _sides(spark, sf_dir, " ", 1)
+    return s.select("conv_id", F.col("both").alias("common"), dice(F.col("both"), F.col("nl"), F.col("nr")).alias("dice"))
+
+
+@query(f"WITH {_SAID}, m AS (SELECT b.conv_id, coalesce(k.both_, 0) AS sections, coalesce(k.both_::DOUBLE / greatest(1, least(k.nl, k.nr)), 0) AS o, b.both_ AS blocks, CASE WHEN b.nl = 0 OR b.nr = 0 THEN 0 ELSE 2.0::DOUBLE * b.both_ / (b.nl + b.nr) END AS d FROM b LEFT JOIN k USING (conv_id)), x AS (SELECT *, least(round(0.40::DOUBLE * o + 0.35::DOUBLE * d, 4), 0.9999::DOUBLE) AS score FROM m) SELECT conv_id, score, CASE WHEN score >= 0.35 AND sections >= 5 THEN 'high' WHEN sections >= 3 OR blocks >= 5 OR d >= 0.15 THEN 'medium' WHEN blocks >= 1 THEN 'low' ELSE 'none' END AS risk FROM x")
+def pair_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and risk of what two sides share, words as blocks and lines as sections."""
+    b, k = _sides(spark, sf_dir, " ", 1), _sides(spark, sf_dir, "\n", 8).select("conv_id", F.col("both").alias("k"), F.col("nl").alias("kl"), F.col("nr").alias("kr"))
+    m = b.join(k, "conv_id", "left").select("conv_id", F.coalesce("k", F.lit(0)).alias("sections"), F.coalesce(overlap(F.col("k"), F.col("kl"), F.col("kr")), F.lit(0.0)).alias("o"), F.col("both").alias("blocks"), dice(F.col("both"), F.col("nl"), F.col("nr")).alias("d"))
+    no, none = F.lit(False), F.lit(0)
+    m = m.withColumn("score", exact_score(F.col("o"), F.col("d"), none, none, no))
+    return m.select("conv_id", "score", exact_risk(no, F.col("score"), F.col("sections"), F.col("blocks"), none, none, F.col("d")).alias("risk"))

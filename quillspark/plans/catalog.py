@@ -1,12 +1,13 @@
 """The queries over the relational and document tables, and their SQL."""
 
-from quillspark.functions import strings, text, values
+from quillspark.functions import nested, strings, text, values
 from quillspark.operators import aggregates, matching, relational, windows
 from quillspark.plans import checks, duplicates
 from quillspark.plans.registry import ORACLE_SQL, QUERIES
+from quillspark.sources import html
 from quillspark.streaming import ingest
 
 FLAGSHIP = "dup_pairs"
-PARTS = (strings, text, values, aggregates, matching, relational, windows, duplicates, checks, ingest)
+PARTS = (nested, strings, text, values, aggregates, matching, relational, windows, duplicates, checks, html, ingest)
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "PARTS", "QUERIES"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,10 +30,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _shared(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a local folder is made only where neither the session nor its context names one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillspark-"))
+    return (named or spark.sparkContext.getCheckpointDir()).rstrip("/")
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """The rows of df, computed now and kept in spark.checkpoint.dir; a local folder is made only where neither the
-    session nor its context names one."""
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillspark-"))
+    """The rows of df, computed now and kept in the shared folder, so that a lost executor costs no recomputation."""
+    _shared(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def kept_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
