@@ -155,11 +155,11 @@ def explode_json_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return item.groupBy("user_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("x.event_type")).alias("kinds"))
 
 
-@query("SELECT a.s_nationkey, a.s_suppkey AS left_key, b.s_suppkey AS right_key FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey")
+@query("SELECT a.l_orderkey, a.l_linenumber AS left_line, b.l_linenumber AS right_line FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber")
 def pair_selfjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier")
-    a, b = s.alias("a"), s.alias("b")
-    return a.join(b, (F.col("a.s_nationkey") == F.col("b.s_nationkey")) & (F.col("a.s_suppkey") < F.col("b.s_suppkey"))).select("a.s_nationkey", F.col("a.s_suppkey").alias("left_key"), F.col("b.s_suppkey").alias("right_key"))
+    """All pairs within a group whose size its kind bounds (an order's few lines); duplicates.shared_units is for others."""
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    return l.alias("a").join(l.alias("b"), F.expr("a.l_orderkey = b.l_orderkey and a.l_linenumber < b.l_linenumber")).select("a.l_orderkey", F.col("a.l_linenumber").alias("left_line"), F.col("b.l_linenumber").alias("right_line"))
 
 
 @query("SELECT a.l_orderkey, a.l_returnflag, a.l_linenumber AS left_line, b.l_linenumber AS right_line FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber) AS k FROM lineitem WHERE l_linestatus = 'O') a JOIN (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber) AS k FROM lineitem WHERE l_linestatus = 'F') b ON a.l_orderkey = b.l_orderkey AND a.l_returnflag = b.l_returnflag AND a.k = b.k")
@@ -207,8 +207,12 @@ def bbox_overlap_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT a.event_id, b.event_id AS near_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type <> b.event_type AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR")
 def range_join_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
-    on = F.expr("a.user_id = b.user_id and a.event_type <> b.event_type and b.ts > a.ts and b.ts <= a.ts + interval 1 hour")
-    return e.alias("a").join(e.alias("b"), on).select("a.event_id", F.col("b.event_id").alias("near_id"))
+    """An interval join on bins of the interval's width, so that a user with many events is many keys."""
+    bins = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000)
+    a = e.withColumn("bin", F.explode(F.array(bins, bins + 1))).alias("a")
+    b = e.withColumn("bin", bins).alias("b")
+    on = F.expr("a.user_id = b.user_id and a.bin = b.bin and a.event_type <> b.event_type and b.ts > a.ts and b.ts <= a.ts + interval 1 hour")
+    return a.join(b, on).select("a.event_id", F.col("b.event_id").alias("near_id"))
 
 
 @query("SELECT o_orderkey, o_custkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50 OFFSET 100")
