@@ -16,8 +16,9 @@ MOST = 3
 #: Tilts of the sources' schedules in code-point order, repeating: a source's weight at time t of the training
 #: (0 to 1) is its weight times 1 + tilt (2 t - 1), so it falls, stays or rises and integrates to the weight.
 TILTS = (-0.5, 0.0, 0.5)
-#: Rows that a bucket of a source's running sum is meant to hold.
-BUCKET_ROWS = 20_000
+#: Rows that a bucket of a source's running sum is meant to hold, and the bits of a hash that name a bucket at most: a
+#: source's buckets are put in order in one task.
+BUCKET_ROWS, BUCKET_BITS = 2_000, 16
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST, tilts=TILTS) -> DataFrame:
@@ -52,7 +53,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, tilts=TILTS, bucket_
     demand; the integral of the source's weight schedule, inverted at u, is its position in the training (0 to
     1). positions lists them, ascending; the rows are sorted by the first, those not taken last.
 
-    Running sums go by hash buckets within a source, so a hot source is spread over many tasks. Rows
+    Running sums go by hash buckets within a source, and rows meet targets by bucket, so a hot source is spread over
+    many tasks. Rows
     that repeat doc_id, source and size are counted before the shuffle. Null texts have size 0, null sources
     are one source, the last; null doc_ids are kept. Other columns are ignored; empty gives empty.
     """
@@ -60,15 +62,15 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, tilts=TILTS, bucket_
     light = cut(light.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")).withColumn("h", md5_long(F.col("doc_id").cast("string"))))
     per = cut(light.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.count("*").alias("rows")))
     aims = cut(targets(per.select("source", "source_size"), weights, most, tilts))
-    bits = min(24, max(0, math.ceil(math.log2(max(1, (per.agg(F.max("rows")).first()[0] or 0) / bucket_rows)))))
+    bits = min(BUCKET_BITS, max(0, math.ceil(math.log2(max(1, (per.agg(F.max("rows")).first()[0] or 0) / bucket_rows)))))
     light = light.withColumn("bucket", F.shiftright("h", 60 - bits))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = light.groupBy("source", "bucket").agg(F.sum(F.col("n") * F.col("size")).alias("b")).select("source", "bucket", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("base"))
     run = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     line = light.withColumn("c", F.coalesce(F.sum(F.col("n") * F.col("size")).over(run), F.lit(0)))
     same = lambda a, b, *names: [a[x].eqNullSafe(b[x]) for x in names]
-    line = line.alias("l").join(base.alias("b"), same(line, base, "source", "bucket")).select("l.*", "b.base")
-    line = line.alias("l").join(aims.alias("a"), same(line, aims, "source")).select("l.*", "a.source_size", "a.target", "a.tilt")
+    base = base.alias("b").join(aims.alias("a"), same(base, aims, "source")).select("b.*", "a.source_size", "a.target", "a.tilt")
+    line = line.alias("l").join(base.alias("b"), same(line, base, "source", "bucket")).select("l.*", "b.base", "b.source_size", "b.target", "b.tilt")
     rounds = F.sequence(F.lit(0), F.lit(most - 1))
     out = (
         line.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
