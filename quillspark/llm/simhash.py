@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import ascii_lower, cut, table, words
+from quillspark.llm.common import ascii_lower, cut, spread_join, table, words
 from quillspark.llm.components import connected_components
 
 #: Counters of two bits share a long, 32 bits each: no text has 2^32 shingles.
@@ -77,14 +77,17 @@ def links(fps: DataFrame, crowd: int = 4096) -> DataFrame:
     return met.distinct()
 
 
-def _grouped(docs: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
-    """fingerprints() of docs, and for each fingerprint its component: (fp, root, component_id)."""
+def _grouped(docs: DataFrame, crowd: int) -> DataFrame:
+    """fingerprints() of docs with their components: doc_id, th, fp, copies, root, component_id. A fingerprint of many
+    documents and a component of many fingerprints stay spread over tasks."""
     fp = cut(fingerprints(docs.select("doc_id", "text")))
-    nodes = cut(fp.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    nodes = cut(fp.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("docs")))
     roots = connected_components(links(nodes.select("fp"), crowd))
-    linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp")
-    named = linked.join(linked.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("fp", "root", "component_id")
-    return fp, nodes.join(named, "fp", "left").selectExpr("fp", "coalesce(root, fp) as root", "coalesce(component_id, rep) as component_id")
+    linked = cut(nodes.join(roots.withColumnRenamed("node", "fp"), "fp"))
+    components = cut(linked.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("prints")))
+    named = spread_join(linked.select("fp", "root"), components, "root", "prints")
+    ids = nodes.join(named, "fp", "left").selectExpr("fp", "docs", "coalesce(root, fp) as root", "coalesce(component_id, rep) as component_id")
+    return spread_join(fp, cut(ids), "fp", "docs")
 
 
 def near_duplicates(docs: DataFrame, crowd: int = 4096) -> DataFrame:
@@ -95,16 +98,14 @@ def near_duplicates(docs: DataFrame, crowd: int = 4096) -> DataFrame:
     it has. Null and blank texts share fingerprint 0. Null doc_ids keep their rows; a component of null
     doc_ids only has a null component_id. Other columns are ignored; an empty table gives an empty result.
     """
-    fp, ids = _grouped(docs, crowd)
-    out = fp.join(ids, "fp").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    out = _grouped(docs, crowd).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return out.selectExpr("doc_id", "lower(lpad(hex(fp), 16, '0')) as fingerprint", "component_id")
 
 
 def deduplicated(docs: DataFrame, crowd: int = 4096) -> DataFrame:
     """docs with one row of each component, that of the smallest doc_id (nulls last; of its texts the one with the
     smallest hash), and all their columns."""
-    fp, ids = _grouped(docs, crowd)
-    first = fp.join(ids, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("x"), F.max("copies").alias("copies"))
+    first = _grouped(docs, crowd).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("x"), F.max("copies").alias("copies"))
     first = cut(first.select("x.doc_id", "x.th", "copies"))
     d, f = docs.alias("d"), first.alias("f")
     kept = d.join(f, F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.xxhash64("d.text") == F.col("f.th")), "left_semi")

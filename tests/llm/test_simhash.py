@@ -4,6 +4,7 @@ import re
 import pytest
 import xxhash
 
+from quillspark.llm.common import spread_join
 from quillspark.llm.simhash import near_duplicates
 
 SCHEMA = "doc_id long, text string, component_id string"
@@ -52,3 +53,14 @@ def test_against_brute_force(spark, crowd):
 
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+@pytest.mark.parametrize("most", [1, 3, 512])
+def test_spread_join_is_a_join(spark, most):
+    keys = [k for k in range(40) for _ in range(1 + 60 * (k == 7) + 20 * (k == 9))] + [None, 99]
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i int")
+    ids = rows.where("k < 40").groupBy("k").count().selectExpr("k", "count", "k * 10 as root")
+    got = spread_join(rows, ids, "k", "count", most)
+    assert got.columns == ["k", "i", "root"]
+    assert sorted(map(tuple, got.collect())) == sorted((k, i, k * 10) for i, k in enumerate(keys) if k is not None and k < 40)
+    assert spread_join(rows.limit(0), ids.limit(0), "k", "count", most).isEmpty()
