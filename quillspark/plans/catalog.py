@@ -1,13 +1,13 @@
 """The queries over the relational and document tables, and their SQL."""
 
 from quillspark.functions import nested, strings, text, values
-from quillspark.operators import aggregates, matching, relational, windows
-from quillspark.plans import checks, duplicates, reviews
+from quillspark.operators import aggregates, graph, matching, relational, windows
+from quillspark.plans import checks, duplicates, evidence, reviews
 from quillspark.plans.registry import ORACLE_SQL, QUERIES
 from quillspark.sources import html
 from quillspark.streaming import ingest
 
 FLAGSHIP = "dup_pairs"
-PARTS = (nested, strings, text, values, aggregates, matching, relational, windows, duplicates, checks, reviews, html, ingest)
+PARTS = (nested, strings, text, values, aggregates, graph, matching, relational, windows, duplicates, checks, evidence, reviews, html, ingest)
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "PARTS", "QUERIES"]
