@@ -2,12 +2,12 @@
 
 from quillspark.functions import nested, strings, text, values
 from quillspark.operators import aggregates, graph, matching, relational, windows
-from quillspark.plans import checks, duplicates, evidence, extraction, reviews
+from quillspark.plans import checks, duplicates, evidence, extraction, requirements, reviews
 from quillspark.plans.registry import ORACLE_SQL, QUERIES
-from quillspark.sources import html
+from quillspark.sources import html, tables
 from quillspark.streaming import ingest
 
 FLAGSHIP = "dup_pairs"
-PARTS = (nested, strings, text, values, aggregates, graph, matching, relational, windows, duplicates, checks, evidence, extraction, reviews, html, ingest)
+PARTS = (nested, strings, text, values, aggregates, graph, matching, relational, windows, duplicates, checks, evidence, extraction, requirements, reviews, html, tables, ingest)
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "PARTS", "QUERIES"]
