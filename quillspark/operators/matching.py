@@ -31,13 +31,15 @@ def classes(sets: DataFrame, group: str, key: str) -> DataFrame:
     return rows.alias("a").join(first.alias("b"), same("a", "b", group, "_d")).select(f"a.{group}", f"a.{key}", "class_id")
 
 
-def similar_sets(sets: DataFrame, group: str, key: str, least: float) -> DataFrame:
+def similar_sets(sets: DataFrame, group: str, key: str, least: float, enough: int | None = None) -> DataFrame:
     """(group, key, s array<string> of different values) to group, l, r (l < r), shared, n_l, n_r: all pairs within a group
     whose Jaccard similarity is `least` or more (of a Dice coefficient d it is d / (2 - d)).
 
     Exact: values are ordered from the rarest to the most frequent of the group; two sets that are alike share a value
     among the first n - ceil(least n) + 1 of each, and their sizes differ by the factor `least` at most. So a value
     that many sets share makes candidates only of sets that hold almost nothing rarer, and no value is left out.
+    With `enough`, pairs that share so many values are results too, whatever their similarity. A pair needs the fewer of
+    the two counts, and a shared value makes candidates only if behind it, in both sets, enough are left to reach that.
     Give each class of equal sets once (see classes()). Empty and null sets are similar to nothing; null keys pair with
     nothing; a null group is a group.
     """
@@ -45,15 +47,20 @@ def similar_sets(sets: DataFrame, group: str, key: str, least: float) -> DataFra
     often = e.groupBy(group, "h").agg(F.count("*").alias("f")).where("f > 1")
     rare = Window.partitionBy(group, key).orderBy(F.col("f").asc_nulls_first(), "h")
     e = e.alias("e").join(often.alias("o"), same("e", "o", group, "h"), "left").select("e.*", "f").withColumn("i", F.row_number().over(rare))
-    head = kept(e.where((F.col("i") <= F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1) & F.col("f").isNotNull()).select(group, key, "n", "h"))
+    need = lambda x: x if enough is None else F.least(x, F.lit(enough))
+    head = kept(e.where((F.col("i") <= F.col("n") - need(F.ceil(F.col("n") * F.lit(least) - 1e-9)) + 1) & F.col("f").isNotNull()).select(group, key, "n", "h", "i"))
     a, b = head.alias("a"), head.alias("b")
     fits = F.least("a.n", "b.n") >= F.lit(least - 1e-9) * F.greatest("a.n", "b.n")
+    if enough is not None:
+        both = F.ceil((F.col("a.n") + F.col("b.n")) * F.lit(least / (1 + least)) - 1e-9)
+        fits = (fits | (F.least("a.n", "b.n") >= enough)) & (F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i")) + 1 >= need(both))
     met = a.join(b, same("a", "b", group, "h") & (F.col(f"a.{key}") < F.col(f"b.{key}")) & fits).select(f"a.{group}", F.col(f"a.{key}").alias("l"), F.col(f"b.{key}").alias("r")).distinct()
     s = sets.select(group, key, "s")
     met = met.alias("m").join(s.alias("x"), F.col(f"m.{group}").eqNullSafe(F.col(f"x.{group}")) & (F.col("l") == F.col(f"x.{key}"))).select("m.*", F.col("x.s").alias("sl"))
     met = met.alias("m").join(s.alias("y"), F.col(f"m.{group}").eqNullSafe(F.col(f"y.{group}")) & (F.col("r") == F.col(f"y.{key}"))).select("m.*", F.col("y.s").alias("sr"))
     out = met.select(group, "l", "r", F.size(F.array_intersect("sl", "sr")).alias("shared"), F.size("sl").alias("n_l"), F.size("sr").alias("n_r"))
-    return out.where(F.col("shared") >= F.lit(least - 1e-9) * (F.col("n_l") + F.col("n_r") - F.col("shared")))
+    alike = F.col("shared") >= F.lit(least - 1e-9) * (F.col("n_l") + F.col("n_r") - F.col("shared"))
+    return out.where(alike if enough is None else alike | (F.col("shared") >= enough))
 
 
 def greedy(edges: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 
 from quillspark.functions.strings import amount_of_capitals
 from quillspark.operators.matching import best_match_line, classes, fuzzy_greedy, greedy, greedy_nn, matched_texts, similar_sets
-from quillspark.plans.duplicates import line_units, shared_units
+from quillspark.plans.duplicates import dup_lines, dup_links, line_units, shared_units
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -50,6 +50,45 @@ def test_frequent_lines_make_pairs_too(spark):
     assert shared_units(line_units(docs), 0.5).count() == 30 * 29 / 2
 
 
+@pytest.mark.parametrize("least,enough", [(0.08, 5), (0.3, 3), (0.9, 2)])
+def test_sets_that_share_enough_against_all_pairs(spark, least, enough):
+    import random
+
+    rng = random.Random(11)
+    rows = [(f"g{i % 2}", i, sorted({*rng.sample([f"v{j}" for j in range(60)], rng.randint(1, 25)), *("hot" for _ in range(i % 3))})) for i in range(90)]
+    got = similar_sets(spark.createDataFrame(rows, "g string, k long, s array<string>"), "g", "k", least, enough).collect()
+    want = set()
+    for (g, i, s), (h, j, t) in itertools.combinations(rows, 2):
+        n = len({*s} & {*t})
+        if g == h and n and (n >= enough or n >= least * len({*s} | {*t}) - 1e-9):
+            want.add((g, i, j, n))
+    assert {(r.g, r.l, r.r, r.shared) for r in got} == want and len(got) == len(want) > 0
+
+
+def test_links_and_lines_leave_no_pair_out(spark):
+    sf = SF.replace("0.001", "0.01")
+    docs = duckdb.sql(f"select source, doc_id, text from '{sf}/documents.parquet'").fetchall()
+    sets = {}
+    for source, doc, text in docs:
+        units = frozenset(y for x in (text or "").split("\n") if len(y := x.translate({32: None, 9: None, 13: None})) >= 10)
+        if units:
+            sets[source, units] = min(doc, sets.get((source, units), doc))
+    want, low = {}, set()
+    for ((s, x), l), ((t, y), r) in itertools.combinations(sorted(sets.items(), key=lambda i: i[1]), 2):
+        if s == t and (n := len(x & y)):
+            dice = 2 * n / (len(x) + len(y))
+            risk = "high" if dice >= 0.35 and n >= 5 else "medium" if dice >= 0.15 or n >= 5 else "low"
+            if risk == "low":
+                low.add((l, r))
+            else:
+                want[l, r] = risk
+    assert {(r.left_doc, r.right_doc): r.risk for r in dup_links(spark, sf).collect()} == want
+    held = {}
+    for r in dup_lines(spark, sf).collect():
+        held.setdefault((r.source, r.h), []).append(r.class_id)
+    assert {tuple(sorted(p)) for k in held.values() for p in itertools.combinations(k, 2)} == low | set(want) and low
+
+
 def test_greedy_is_the_walk(spark):
     edges = [(a, b, float((a * 7 + b * 3) % 5)) for a in range(6) for b in range(7) if (a + b) % 3]
     got = greedy(spark.createDataFrame([("p", *e) for e in edges] + [(None, 1, 1, 0.0)], "g string, a int, b int, d double"), ["g"], [F.col("d"), F.col("a"), F.col("b")])
