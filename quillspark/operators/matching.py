@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import math
 
 import numpy as np
 import pandas as pd
@@ -89,21 +90,28 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-def matched_texts(left: DataFrame, right: DataFrame, group: str, least: float, floor: float = 0.15) -> DataFrame:
+@F.pandas_udf(returnType=DoubleType())
+def ratio_from(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    """ratio() of two different texts; null where the characters in common, in any order, already rule `least` out."""
+    pairs = ((difflib.SequenceMatcher(None, x, y), r) for x, y, r in zip(a, b, least))
+    return pd.Series([m.ratio() if m.quick_ratio() >= r else None for m, r in pairs], dtype="float64")
+
+
+def matched_texts(left: DataFrame, right: DataFrame, group: str, least: float) -> DataFrame:
     """(group, i, text) twice to group, a, b, ratio: texts of a group matched one to one, best ratio first, ties to the larger
     positions; equal texts are left to the exact comparison.
 
-    Candidates are texts whose sets of character pairs have a Jaccard similarity of `floor`: a ratio of 0.78 cannot
-    be had below that, but in texts that repeat few pairs over and over. Null and empty texts match nothing.
+    No pair that reaches `least` is left out: pairs are ruled out by their lengths and by the characters they have in
+    common only, both of which bound the ratio. Texts meet within a group and a band of lengths: of a pair, the
+    longer has (2 - least) / least times the other's characters at most. Null and empty texts match nothing.
     """
-    both = left.selectExpr(group, "i * 2 as k", "text").union(right.selectExpr(group, "i * 2 + 1 as k", "text")).where("text <> ''")
-    pairs = similar_sets(both.select(group, "k", bigrams(F.col("text")).alias("s")), group, "k", floor).where("l % 2 <> r % 2")
-    pairs = pairs.select(group, F.when(F.col("l") % 2 == 0, F.col("l")).otherwise(F.col("r")).alias("x"), F.when(F.col("l") % 2 == 1, F.col("l")).otherwise(F.col("r")).alias("y"))
-    p = pairs.alias("p").join(both.alias("u"), F.col(f"p.{group}").eqNullSafe(F.col(f"u.{group}")) & (F.col("x") == F.col("u.k"))).select("p.*", F.col("u.text").alias("tx"))
-    p = p.alias("p").join(both.alias("v"), F.col(f"p.{group}").eqNullSafe(F.col(f"v.{group}")) & (F.col("y") == F.col("v.k"))).select("p.*", F.col("v.text").alias("ty"))
-    short, long = F.least(F.char_length("tx"), F.char_length("ty")), F.char_length("tx") + F.char_length("ty")
-    p = p.where((F.col("tx") != F.col("ty")) & (2 * short >= F.lit(least) * long))
-    scored = p.select(group, F.floor(F.col("x") / 2).alias("a"), F.floor(F.col("y") / 2).alias("b"), ratio("tx", "ty").alias("ratio")).where(F.col("ratio") >= least)
+    width = math.log((2 - least) / least * 1.01)  # a little more, so that rounding loses no pair at a bound
+    band = F.floor(F.log(F.char_length("text").cast("double")) / width)
+    some = lambda side, k: side.where("text <> ''").select(group, F.col("i").alias(k), F.col("text").alias(f"t{k}"), band.alias("band"))
+    x, y = some(left, "a").alias("x"), some(right, "b").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).alias("y")
+    short, long = F.least(F.char_length("ta"), F.char_length("tb")), F.char_length("ta") + F.char_length("tb")
+    p = x.join(y, same("x", "y", group) & (F.col("x.band") == F.col("y.band"))).where((F.col("ta") != F.col("tb")) & (2 * short >= F.lit(least) * long))
+    scored = p.select(f"x.{group}", "a", "b", ratio_from("ta", "tb", F.lit(least)).alias("ratio")).where(F.col("ratio") >= least)
     return greedy(scored, [group], [F.desc("ratio"), F.desc("a"), F.desc("b")])
 
 

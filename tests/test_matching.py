@@ -113,6 +113,29 @@ def test_fuzzy_greedy_against_all_pairs(spark):
     assert len(got & want) >= 0.97 * max(len(got), len(want))  # at 0.5 a pair of texts may share few character pairs
 
 
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_fuzzy_greedy_equals_all_pairs(spark, sf):
+    path = SF.replace("0.001", sf)
+    got = sorted((r.conv_id, r.a, r.b, round(r.ratio, 9)) for r in fuzzy_greedy(spark, path).collect())
+    rows = duckdb.sql(f"select conv_id, role, turn, text from '{path}/conversations.parquet'").fetchall()
+    sides = {}
+    for c, role, t, text in rows:
+        for p, x in enumerate((text or "").split("\n")):
+            if x:
+                sides.setdefault(c, {}).setdefault(role, []).append((t * 100_000 + p, x))
+    want = []
+    for c, by in sides.items():
+        edges = []
+        for i, x in by.get("user", []):
+            for j, y in by.get("assistant", []):
+                if x != y and 4 * min(len(x), len(y)) >= len(x) + len(y):
+                    m = difflib.SequenceMatcher(None, x, y)
+                    if m.quick_ratio() >= 0.5 and (r := m.ratio()) >= 0.5:
+                        edges.append((i, j, r))
+        want += [(c, a, b, round(r, 9)) for a, b, r in walk(edges, lambda e: (-e[2], -e[0], -e[1]))]
+    assert got == sorted(want) and got
+
+
 def test_fuzzy_ties_and_nulls(spark):
     make = lambda rows: spark.createDataFrame(rows, "g string, i long, text string")
     left = make([("x", 0, "delivery within ten days"), ("x", 1, "delivery within ten days"), ("x", 2, None), ("x", 3, ""), ("y", 0, "alone")])
