@@ -13,15 +13,16 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]+", 0, 16),
     ("hex", r"[0-9a-f]{32,}", 0, 32),
 )
-#: Weak kinds, reported only beside their complements, and the part of a credential that each is.
+#: Weak kinds, reported only beside their complements, and the part of a credential that each is. A key is a whole run of any
+#: length; it is tried at its first character only and nothing is given back, so a run is read four times at most.
 WEAK = (
     ("weak_id", r"""(?:A(?:SIA|ROA|IDA|GPA)[A-Z0-9]{12,}|(?i:client|account|tenant|access)[_-]?(?i:id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,})""", "I"),
-    ("weak_key", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,127}[0-9])(?=[a-z0-9+/_-]{0,127}[A-Z])(?=[A-Z0-9+/_-]{0,127}[a-z])[A-Za-z0-9+/_-]{20,128}(?![A-Za-z0-9+/_-])", "S"),
+    ("weak_key", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{20,}+", "S"),
     ("weak_endpoint", r"(?i:https?|postgres(?:ql)?|mysql|mongodb|redis|amqps?|jdbc|s3)://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]+", "E"),
 )
 #: Parts that base kinds are; long hex strings are often checksums and complete nothing.
 PARTS = {"access": "I", "assign": "S"}
-#: Code points between the starts of two parts of one credential at most.
+#: Code points between the end of a part of a credential and the start of the next at most.
 SCOPE = 256
 
 KINDS = [x[0] for x in BASE] + [x[0] for x in WEAK]
@@ -46,16 +47,17 @@ def _matches(docs: DataFrame) -> DataFrame:
 
 def _linked(spans: DataFrame, scope: int) -> DataFrame:
     """The weak spans whose complements stand within scope: identifier and secret need each other, an endpoint needs
-    both. An interval join on bins of the scope's width: of each part, a bin's first and last start decide
-    whether one is in reach, so a bin is one row however many candidates it has."""
+    both. Of the parts that start within scope of a span's end, the one that reaches furthest decides whether any is in
+    reach: a running maximum over a text's parts in order, one row for each part and each span, however many are near."""
     part = F.element_at(F.array(*[F.lit(PARTS.get(x[0])) for x in BASE], *[F.lit(x[2]) for x in WEAK]), F.col("kind") + 1)
-    parts = spans.withColumn("part", part).withColumn("bin", F.floor(F.col("start") / scope)).where("part is not null")
-    bins = parts.where("part <> 'E'").groupBy("doc_id", "th", "part", "bin").agg(F.min("start").alias("low"), F.max("start").alias("high")).withColumnRenamed("part", "other")
-    weak = parts.where(F.col("kind") >= len(BASE)).withColumn("near", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1))).alias("w")
-    b = bins.alias("b")
-    close = F.expr(f"case when b.bin = w.bin then true when b.bin < w.bin then b.high >= w.start - {scope} else b.low <= w.start + {scope} end")
-    met = weak.join(b, F.col("w.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("w.th") == F.col("b.th")) & (F.col("near") == F.col("b.bin"))).where((F.col("part") != F.col("other")) & close)
-    return met.groupBy("w.doc_id", "w.th", "kind", "start", "end", "part").agg(F.size(F.collect_set("other")).alias("others")).where("others = if(part = 'E', 2, 1)").select("doc_id", "th", "kind", "start", "end")
+    parts = spans.withColumn("part", part).where("part is not null")
+    is_weak = F.col("kind") >= len(BASE)
+    seen = parts.where("part <> 'E'").withColumns({"at": F.col("start"), "asks": F.lit(False)})
+    asks = parts.where(is_weak).withColumns({"at": F.col("end") + scope, "asks": F.lit(True)})
+    run = Window.partitionBy("doc_id", "th").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    far = lambda p: F.coalesce(F.max(F.when(~F.col("asks") & (F.col("part") == p), F.col("end"))).over(run) >= F.col("start") - scope, F.lit(False))
+    near = seen.unionByName(asks).withColumns({"has_i": far("I"), "has_s": far("S")})
+    return near.where("asks and (part = 'I' or has_i) and (part = 'S' or has_s)").select("doc_id", "th", "kind", "start", "end")
 
 
 def _joined(spans: Column) -> Column:
@@ -68,7 +70,7 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
     Base spans are reported wherever they stand. Identifiers, tokens and endpoints that alone say little are weak
     candidates: they are reported only if complementary parts of a credential co-occur within `scope` code
-    points of the same text. spans lists all as kind:start:end in code points, by start, then kind; a weak span
+    points of the same text, from the end of the one to the start of the other. spans lists all as kind:start:end in code points, by start, then kind; a weak span
     may lie within a base one. Null texts count as empty and have none; rows that repeat doc_id and text repeat
     their result, rows that repeat a doc_id with another text have their own. Null doc_ids are kept. Other
     columns are ignored; an empty table gives an empty result.

@@ -61,3 +61,34 @@ def test_weak_parts_need_each_other(spark):
 
 def test_empty(spark):
     assert scan(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_long_keys_and_long_parts(spark):
+    key = lambda n: ("aB3" * n)[:n]
+    link = "client_id=acct77"
+    cases = [(f"{link} {key(n)}", True) for n in (20, 128, 129, 356, 5000)]
+    cases += [(f"token={'a' * 300} {link}", True), (f"{link} {key(400)} {'x ' * 60}{link}", True)]
+    cases += [(f"{link}{' ' * 256}{key(30)}", True), (f"{link}{' ' * 257}{key(30)}", False), (f"{key(300)}{' ' * 257}{link}", False)]
+    cases += [(f"{link} {'a' * 400}", False), (f"{link} {'aB' * 200}", False)]
+    got = {r.doc_id: r.spans for r in scan(spark.createDataFrame([(i, t, None, None, None) for i, (t, _) in enumerate(cases)], SCHEMA)).collect()}
+    assert [("weak_id" in got[i]) for i in range(len(cases))] == [w for _, w in cases]
+    assert got[3] == f"weak_id:0:16,weak_key:17:{17 + 356}" and got[6].count("weak_id") == 2
+
+
+def test_gaps_against_all_parts(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from quillspark.llm.secrets import KINDS, _linked
+
+    rng, n = random.Random(5), len(BASE)
+    spans = sorted({(d, 1, rng.randrange(len(KINDS)), s := rng.randrange(3000), s + rng.randint(1, 500)) for d in range(20) for _ in range(rng.randint(1, 12))})
+    part = [PARTS.get(k[0]) for k in BASE] + [w[2] for w in WEAK]
+    want = []
+    for d, th, k, s, e in spans:
+        has = {part[j] for x, _, j, t, u in spans if x == d and t - e <= SCOPE and s - u <= SCOPE}
+        if k >= n and {"I", "S"} - {part[k]} <= has:
+            want.append((d, th, k, s, e))
+    got = _linked(spark.createDataFrame(spans, "doc_id long, th long, kind int, start long, end long"), SCOPE).select("doc_id", "th", "kind", F.col("start"), "end")
+    assert sorted(map(tuple, got.collect())) == want and 0 < len(want) < len(spans)
