@@ -3,7 +3,9 @@ import random
 from pyspark.sql import functions as F
 
 from quillspark.operators.graph import clusters, components
-from quillspark.plans.evidence import paired, says_enough
+from quillspark.plans.evidence import dup_totals, paired, says_enough, summed
+from quillspark.plans.registry import ORACLE_SQL
+from tests.oracle import database, rows
 
 
 def brute(links):
@@ -52,3 +54,16 @@ def test_short_texts_need_the_same_numbers(spark):
     cases = [("a" * 30, "b" * 40, True), ("a", "b" * 40, False), ("pay 5 of 10", "5, then 10", True), ("10 of 5", "5 of 10", False), ("none", "none", False)]
     got = spark.createDataFrame(cases, "a string, b string, want boolean").select(says_enough(F.col("a"), F.col("b")).alias("got"), "want").collect()
     assert all(r.got == r.want for r in got)
+
+
+def test_totals_count_copies_and_members_of_classes(spark):
+    docs = [("s", i, "one text that was copied\nover and over") for i in range(1000)] + [("t", 1000 + i, "\n".join(["short"] * 4)) for i in range(3)]
+    docs += [("u", 2000 + i, f"a line that all of them hold{chr(10)}{'ab'[i % 2] * 12}") for i in range(5)] + [(None, 3000, None)]
+    got = {r.source: tuple(r)[1:] for r in summed(spark.createDataFrame(docs, "source string, doc_id long, text string")).collect()}
+    assert got == {"s": (1000, 499_500, 499_500, 499_500, 0), "t": (3, 3, 3, 3, 0), "u": (5, 10, 10, 4, 6), None: (1, 0, 0, 0, 0)}
+
+
+def test_totals_against_all_pairs_of_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    got, want = dup_totals(spark, sf).toPandas(), database(sf).execute(ORACLE_SQL["dup_totals"]).df()
+    assert rows(got) == rows(want) and got.reported.sum() > 0
