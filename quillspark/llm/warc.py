@@ -20,11 +20,14 @@ from quillspark.llm.common import new_folder, table
 
 SCHEMA = "record_type string, record_id string, refers_to string, target_uri string, payload_digest string, payload_bytes long, headers map<string,string>, payload binary"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-MANIFEST = "_manifest.json"
+#: Each write leaves a manifest of its own; together they say which files and pieces count.
+MANIFEST = re.compile(r"_manifest-\w+\.json")
 #: Payloads under this many bytes are stored again each time.
 LEAST = 100
 #: Bytes of archives that a read partition is meant to hold; bytes read at once.
 PARTITION, BLOCK = 32 << 20, 1 << 16
+#: What stands before the length of a member that this writer has made: gzip's head and the head of the field `sl`.
+SYNC = b"\x1f\x8b\x08\x04" + bytes(4) + b"\x04\xff" + struct.pack("<H2sH", 20, b"sl", 16)
 #: Columns of SCHEMA with a header of their own.
 HEADERS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "refers_to": "WARC-Refers-To", "target_uri": "WARC-Target-URI", "payload_digest": "WARC-Payload-Digest"}
 
@@ -37,9 +40,7 @@ def _member(record: bytes) -> bytes:
     """A gzip member whose extra field `sl` holds its own and the record's length, so that readers can skip it."""
     deflate = zlib.compressobj(1, zlib.DEFLATED, -15)
     body = deflate.compress(record) + deflate.flush()
-    head = b"\x1f\x8b\x08\x04" + bytes(4) + b"\x04\xff"
-    extra = struct.pack("<H2sHQQ", 20, b"sl", 16, len(head) + 22 + len(body) + 8, len(record))
-    return head + extra + body + struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
+    return SYNC + struct.pack("<QQ", len(SYNC) + 16 + len(body) + 8, len(record)) + body + struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
 
 
 def _head(fields: dict[str, str | None]) -> bytes:
@@ -62,19 +63,21 @@ class Written(WriterCommitMessage):
     name: str
     size: int
     records: int
+    cuts: list[int]
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """One file a task under a name of its own. The manifest, written at the end, names the files of the attempts that
-    count, so that what a lost executor has left is never read."""
+    """One file a task under a name of its own. A manifest, written at the end, names the files of the attempts that
+    count and where they can be cut, so that what a lost executor has left is never read. Each write has its own
+    manifest, and a further write adds to those before; one that overwrites removes their manifests and files."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, overwrite: bool = False):
+        self.path, self.overwrite = path, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, root = _store(self.path)
         store.create_dir(root)
-        name, size, n = f"part-{uuid.uuid4().hex}.warc.gz", 0, 0
+        name, size, n, cuts = f"part-{uuid.uuid4().hex}.warc.gz", 0, 0, [0]
         with store.open_output_stream(f"{root}/{name}", compression=None) as out:
             info = _member(_head({"WARC-Type": "warcinfo", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>", "WARC-Date": "1970-01-01T00:00:00Z", "Content-Type": "application/warc-fields", "Content-Length": "0"}) + b"\r\n\r\n")
             out.write(info)
@@ -82,15 +85,22 @@ class WarcWriter(DataSourceArrowWriter):
             for batch in iterator:
                 for i in range(batch.num_rows):
                     data = _member(record({c: batch.column(j)[i].as_py() for j, c in enumerate(batch.schema.names)}))
+                    if size - cuts[-1] >= PARTITION:
+                        cuts.append(size)
                     out.write(data)
                     size, n = size + len(data), n + 1
-        return Written(name, size, n)
+        return Written(name, size, n, cuts)
 
     def commit(self, messages: list) -> None:
         store, root = _store(self.path)
         store.create_dir(root)
-        with store.open_output_stream(f"{root}/{MANIFEST}") as out:
-            out.write(json.dumps([[m.name, m.size, m.records] for m in messages if m]).encode())
+        old = _manifests(store, root) if self.overwrite else {}
+        with store.open_output_stream(f"{root}/_manifest-{uuid.uuid4().hex}.json") as out:
+            out.write(json.dumps([[m.name, m.size, m.records, m.cuts] for m in messages if m]).encode())
+        for manifest, files in old.items():
+            store.delete_file(f"{root}/{manifest}")
+            for name, *_ in files:
+                store.delete_file(f"{root}/{name}")
 
     def abort(self, messages: list) -> None:
         store, root = _store(self.path)
@@ -99,17 +109,31 @@ class WarcWriter(DataSourceArrowWriter):
                 store.delete_file(f"{root}/{m.name}")
 
 
+def _manifests(store: fs.FileSystem, root: str) -> dict[str, list]:
+    """The manifests of a folder by name: (file, size, records, cuts) each."""
+    out = {}
+    for f in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+        if MANIFEST.fullmatch(f.base_name):
+            with store.open_input_stream(f.path) as x:
+                out[f.base_name] = json.loads(x.read())
+    return out
+
+
 @dataclass
-class Files(InputPartition):
-    names: tuple[str, ...]
+class Pieces(InputPartition):
+    """(file, first byte, byte after the last): records that begin there."""
+
+    of: tuple[tuple[str, int, int], ...]
 
 
 class WarcReader(DataSourceReader):
-    """Partitions are files, small ones together. Equality and IN filters on columns that are headers are decided on the
-    header; then the payload of an unwanted record is neither inflated nor copied."""
+    """Partitions are pieces of files of about PARTITION bytes, small files together. Files that this writer has made are cut
+    where its manifests say, others only with `split`: then a task looks for the next record from its first byte on, and
+    a payload that itself holds an uncompressible archive could be taken for records. Equality and IN filters on columns
+    that are headers are decided on the header; then the payload of an unwanted record is neither inflated nor copied."""
 
-    def __init__(self, path: str, payload: bool):
-        self.path, self.payload, self.wanted = path, payload, {}
+    def __init__(self, path: str, payload: bool, split: bool = False):
+        self.path, self.payload, self.split, self.wanted = path, payload, split, {}
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
@@ -122,36 +146,40 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> Sequence[InputPartition]:
         store, root = _store(self.path)
-        if store.get_file_info(f"{root}/{MANIFEST}").type == fs.FileType.NotFound:
-            found = [(f.base_name, f.size) for f in store.get_file_info(fs.FileSelector(root)) if re.search(r"\.warc(\.gz)?$", f.base_name)]
-        else:
-            with store.open_input_stream(f"{root}/{MANIFEST}") as x:
-                found = [(name, size) for name, size, _ in json.loads(x.read())]
+        found = [(name, size, cuts) for files in _manifests(store, root).values() for name, size, _, cuts in files]
+        if not found:
+            foreign = [(f.base_name, f.size) for f in store.get_file_info(fs.FileSelector(root)) if re.search(r"\.warc(\.gz)?$", f.base_name)]
+            found = [(name, size, list(range(0, max(1, size), PARTITION)) if self.split else [0]) for name, size in foreign]
+        pieces = [(name, a, b) for name, size, cuts in sorted(found) for a, b in zip(cuts, [*cuts[1:], size])]
         parts, size = [[]], 0
-        for name, n in sorted(found):
-            if parts[-1] and size + n > PARTITION:
+        for piece in pieces:
+            if parts[-1] and size + piece[2] - piece[1] > PARTITION:
                 parts.append([])
                 size = 0
-            parts[-1].append(name)
-            size += n
-        return [Files(tuple(p)) for p in parts]
+            parts[-1].append(piece)
+            size += piece[2] - piece[1]
+        return [Pieces(tuple(p)) for p in parts]
 
-    def read(self, partition: Files) -> Iterator[tuple]:
+    def read(self, partition: Pieces) -> Iterator[tuple]:
         store, root = _store(self.path)
-        for name in partition.names:
+        for name, start, end in partition.of:
             with store.open_input_file(f"{root}/{name}") as file:
-                yield from (_members if name.endswith(".gz") else _plain)(file, self._row)
+                gz = name.endswith(".gz")
+                at = _next_record(file, start, gz) if self.split and start else start
+                yield from (_members if gz else _plain)(file, self._row, at, end)
 
     def _row(self, head: bytes, rest) -> tuple | None:
         """head: up to the blank line. rest(): the record's other bytes, called only for records that are wanted."""
-        headers = dict(line.split(": ", 1) for line in head.decode("utf-8", "surrogatepass").split("\r\n")[1:] if ": " in line)
-        value = {c: headers.get(h) for c, h in HEADERS.items()}
+        lines = re.sub(r"\r\n[ \t]+", " ", head.decode("utf-8", "surrogatepass")).split("\r\n")[1:]
+        headers = {name.strip(): v.strip() for name, colon, v in (line.partition(":") for line in lines) if colon}
+        plain = {name.lower(): v for name, v in headers.items()}  # names of headers have no case
+        value = {c: plain.get(h.lower()) for c, h in HEADERS.items()}
         value["payload_digest"] = (value["payload_digest"] or "").removeprefix("sha256:") or None
         if any(value[c] not in want for c, want in self.wanted.items()):
             return None
         payload = size = None
         if value["record_type"] in ("response", "revisit") and self.payload:
-            block = rest()[: int(headers["Content-Length"])]
+            block = rest()[: int(plain["content-length"])]
             http, _, body = block.partition(b"\r\n\r\n")
             m = re.search(rb"(?i)\r\ncontent-length: *(\d+)", http)
             payload = body if value["record_type"] == "response" else None
@@ -159,9 +187,28 @@ class WarcReader(DataSourceReader):
         return (*(value[c] for c in ("record_type", "record_id", "refers_to", "target_uri", "payload_digest")), size, headers, payload)
 
 
-def _members(file, row) -> Iterator[tuple]:
-    """Records of a file of gzip members. Members with an `sl` field are skipped by seeking, others by inflating."""
-    at, end = 0, file.size()
+def _next_record(file, at: int, gz: bool) -> int:
+    """The first byte from `at` on at which a record begins, or the file's size."""
+    mark, end = (b"\x1f\x8b\x08" if gz else b"\r\n\r\nWARC/1."), file.size()
+    while at < end:
+        file.seek(at)
+        data = file.read(1 << 20)
+        for m in re.finditer(re.escape(mark), data):
+            if not gz:
+                return at + m.start() + 4
+            file.seek(at + m.start())
+            try:
+                if zlib.decompressobj(31).decompress(file.read(BLOCK), 7) == b"WARC/1.":
+                    return at + m.start()
+            except zlib.error:
+                pass
+        at += max(1, len(data) - len(mark) + 1) if len(data) == 1 << 20 else len(data)
+    return end
+
+
+def _members(file, row, at: int, end: int) -> Iterator[tuple]:
+    """Records of a file of gzip members that begin from `at` to `end`. Members with an `sl` field are skipped by
+    seeking, others by inflating."""
     while at < end:
         file.seek(at)
         data = file.read(BLOCK)
@@ -194,10 +241,10 @@ def _members(file, row) -> Iterator[tuple]:
             yield found
 
 
-def _plain(file, row) -> Iterator[tuple]:
-    """Records of an uncompressed file; Content-Length says where the next one begins."""
-    at, end = 0, file.size()
-    while at < end:
+def _plain(file, row, at: int, stop: int) -> Iterator[tuple]:
+    """Records of an uncompressed file that begin from `at` to `stop`; Content-Length says where the next one begins."""
+    end = file.size()
+    while at < stop:
         file.seek(at)
         got = file.read(4096)
         while b"\r\n\r\n" not in got and at + len(got) < end:
@@ -217,7 +264,8 @@ def _plain(file, row) -> Iterator[tuple]:
 
 
 class WarcSource(DataSource):
-    """format("warc"): option path; payload=false leaves payload and payload_bytes null and reads headers only."""
+    """format("warc"): option path; payload=false leaves payload and payload_bytes null and reads headers only; split=true
+    cuts foreign files too (see WarcReader). Appending adds archives, overwriting replaces those that manifests name."""
 
     @classmethod
     def name(cls) -> str:
@@ -227,10 +275,10 @@ class WarcSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> WarcReader:
-        return WarcReader(self.options["path"], self.options.get("payload", "true").lower() != "false")
+        return WarcReader(self.options["path"], self.options.get("payload", "true").lower() != "false", self.options.get("split", "false").lower() == "true")
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options["path"])
+        return WarcWriter(self.options["path"], overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -262,14 +310,16 @@ def archived(pages: DataFrame) -> DataFrame:
     )
 
 
-def write(pages: DataFrame, path: str) -> None:
+def write(pages: DataFrame, path: str, mode: str = "append") -> None:
+    """Archives pages; with mode append beside what the folder holds, with overwrite in its place. Pages of one write
+    revisit each other only."""
     register(pages.sparkSession)
-    archived(pages).write.format("warc").mode("append").save(path)
+    archived(pages).write.format("warc").mode(mode).save(path)
 
 
-def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+def read(spark: SparkSession, path: str, payload: bool = True, split: bool = False) -> DataFrame:
     register(spark)
-    return spark.read.format("warc").option("payload", str(payload)).load(path)
+    return spark.read.format("warc").option("payload", str(payload)).option("split", str(split)).load(path)
 
 
 def pages_of(records: DataFrame) -> DataFrame:

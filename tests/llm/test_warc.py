@@ -1,5 +1,8 @@
 import gzip
 import hashlib
+import random
+
+import pyarrow as pa
 
 from quillspark.llm import warc
 
@@ -58,6 +61,43 @@ def test_foreign_archives(spark, tmp_path):
     assert warc.read(spark, str(tmp_path)).where("record_id = '<urn:page:6>'").count() == 1
 
 
+def test_a_second_write_adds_and_one_that_overwrites_replaces(spark, tmp_path):
+    path, page = str(tmp_path / "w"), lambda i: spark.createDataFrame([(i, "u", "page of its own " * 20, None, None)], SCHEMA)
+    for i in (1, 2):
+        warc.write(page(i), path)
+    ids = lambda: sorted(r.page_id for r in warc.pages_of(warc.read(spark, path)).collect())
+    assert ids() == [1, 2]
+    warc.write(page(3), path, "overwrite")
+    assert ids() == [3] and len(list((tmp_path / "w").glob("part-*"))) <= 8
+
+
+def test_header_names_have_no_case_and_may_be_folded(tmp_path):
+    reader = warc.WarcReader(str(tmp_path), True)
+    row = reader._row(b"WARC/1.0\r\nwarc-type:response\r\nWARC-RECORD-ID: <a>\r\nWARC-Target-URI: http://x\r\n\t/y\r\ncontent-length: 7", lambda: b"H\r\n\r\nab")
+    assert row[:4] == ("response", "<a>", None, "http://x /y") and row[5] == 2 and row[7] == b"ab"
+
+
+def test_large_files_are_cut(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "PARTITION", 20_000)
+    noise = random.Random(1).randbytes
+    records = [warc.record({"record_type": "response", "record_id": f"<urn:page:{i}>", "target_uri": "u", "refers_to": None, "payload_digest": "0" * 64, "payload_bytes": 0, "payload": noise(3000)}) for i in range(60)]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records[:30]))
+    (tmp_path / "b.warc").write_bytes(b"".join(records[30:]))
+    reader = warc.WarcReader(str(tmp_path), True, True)
+    parts = reader.partitions()
+    assert len(parts) >= 9
+    assert sorted(int(r[1][10:-1]) for p in parts for r in reader.read(p)) == list(range(60))
+    out = tmp_path / "own"
+    writer = warc.WarcWriter(str(out))
+    columns = ["record_type", "record_id", "refers_to", "target_uri", "payload_digest", "payload_bytes", "payload"]
+    batch = pa.RecordBatch.from_pylist([{"record_type": "response", "record_id": f"<urn:page:{i}>", "refers_to": None, "target_uri": "u", "payload_digest": "", "payload_bytes": 0, "payload": noise(3000)} for i in range(60)]).select(columns)
+    writer.commit([writer.write(iter([batch]))])
+    reader = warc.WarcReader(str(out), True)
+    parts = reader.partitions()
+    found = [int(r[1][10:-1]) for p in parts for r in reader.read(p) if r[1].startswith("<urn:page")]
+    assert len(parts) >= 8 and sorted(found) == list(range(60))
+
+
 def test_empty(spark, tmp_path):
     warc.write(spark.createDataFrame([], SCHEMA), str(tmp_path / "w"))
     assert warc.pages_of(warc.read(spark, str(tmp_path / "w"))).collect() == []
