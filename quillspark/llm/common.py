@@ -53,6 +53,19 @@ def spread_join(rows: DataFrame, ids: DataFrame, key: str, size: str, most: int
     return rows.join(hot, key).unionByName(rest)
 
 
+def copies(rows: DataFrame, n: str, name: str, block: int = 1 << 14) -> DataFrame:
+    """Each row n times (n is 1 or more), with its number from 0 in `name`. Rows with large n are made in blocks that are
+    spread over tasks, so that a row repeated a billion times is neither one array nor one task's work."""
+    last = F.col(n).cast("long") - 1
+    many = rows.where(F.col(n) > block)
+    few = rows.where(F.col(n) <= block).withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    if many.isEmpty():
+        return few
+    first = F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(block).cast("long")))
+    spread = many.withColumn(name, first).repartition(name)
+    return few.unionByName(spread.withColumn(name, F.explode(F.sequence(F.col(name), F.least(last, F.col(name) + block - 1)))))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z; every other character stays."""
     return F.translate(text, UPPER, UPPER.lower())
