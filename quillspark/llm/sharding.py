@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut, md5_long, table
+from quillspark.llm.common import copies, cut, md5_long, table
 
 SHARDS = 24
-#: Rows that a range is meant to hold, sampled keys a range, and ranges at most in each of two levels.
-RANGE_ROWS, SAMPLE, FAN = 50_000, 64, 128
-#: A group of equal texts stays whole up to this share of a shard (or the largest record, if that is larger).
-WHOLE = 0.05
+#: Ranges that a shard is meant to consist of, keys sampled for each range, and ranges at most in each of two levels.
+FINE, SAMPLE, FAN = 128, 32, 128
+#: A shard ends at the start of a group of equal texts if one is as near as this share of a shard.
+WHOLE = 0.01
 #: Low bits of the key, from doc_id: they divide a group of equal texts.
 DOC_BITS = 20
+#: Rows that are numbered in one task, about.
+SLOT_ROWS = 2_000
+#: Rows of a range that the ranges of other operators are meant to hold.
+RANGE_ROWS = 50_000
 
 
 def _range_of(key: Column, splitters: list[int]) -> Column:
@@ -29,36 +33,93 @@ def _range_of(key: Column, splitters: list[int]) -> Column:
     return (coarse - 1) * FAN + below(F.element_at(F.array(*[array(p) for p in parts]), coarse))
 
 
-def _sample(rows: DataFrame, rate: float, weight: str) -> list[int]:
-    """Keys of a sample that takes each row with probability min(1, rate x weight), the same on every run.
-    The caller bounds rate x the total weight, hence the driver's list."""
+def _sample(rows: DataFrame, rate: float) -> list[tuple[int, float]]:
+    """Sampled keys in order with the size that each stands for. A row is drawn with probability min(1, rate x weight), the
+    same on every run. The caller bounds rate x the total weight, hence the driver's list."""
     draw = (F.xxhash64("key", "doc_id", F.lit("splitter")) % F.lit(2**31) + F.lit(2**31)) / F.lit(float(2**32))
-    return sorted(r.key for r in rows.where(draw < F.col(weight) * F.lit(rate)).select("key").collect())
-
-
-def _splitters(keys: list[int], parts: int) -> list[int]:
-    """Quantiles of the sampled keys. One that is alone in its group of equal texts moves to the group's
-    first key; a group that holds several is overfull, and they divide it."""
-    found = sorted({keys[len(keys) * i // parts] for i in range(1, parts)}) if keys else []
-    group = [k >> DOC_BITS for k in found]
-    alone = {g for g in group if group.count(g) == 1} if len(group) < 64 else {g for i, g in enumerate(group) if g not in (group[i - 1] if i else None, group[i + 1] if i + 1 < len(group) else None)}
-    return sorted({g << DOC_BITS if g in alone else k for g, k in zip(group, found)})
+    drawn = rows.where(draw < F.col("weight") * F.lit(rate)).select("key", F.greatest(F.col("weight").cast("double"), F.lit(1 / rate)).alias("mass"))
+    return sorted((r.key, r.mass) for r in drawn.collect())
+
+
+def _quantiles(sample: list[tuple[int, float]], parts: int) -> list[int]:
+    """Keys that cut the sampled sizes in about `parts` equal parts, each cut at the nearest key. In a group of equal texts the
+    first cut moves to the group's first key; a group that holds more cuts is large, and they divide it."""
+    step, since, found = sum(mass for _, mass in sample) / max(1, parts), 0.0, {}
+    for key, mass in sample:
+        if since and since + mass / 2 > step:
+            group = found.setdefault(key >> DOC_BITS, [])
+            group.append(key if group else key >> DOC_BITS << DOC_BITS)
+            since = 0.0
+        since += mass
+    return sorted(key for group in found.values() for key in group)
+
+
+def _boundaries(edges: list[tuple[int, int]], total: int, shards: int) -> list[int]:
+    """edges: (size before, splitter). The splitters that end shards: for each even share the nearest edge, one at a group's
+    start if it is as near as WHOLE of a shard; a shard without an edge of its own is empty."""
+    out, at = [], 0
+    for i in range(1, shards):
+        aim = i * total / shards
+        while at < len(edges) and edges[at][0] < aim:
+            at += 1
+        near, best, whole = [], None, None
+        for step, start in ((-1, at - 1), (1, at)):
+            j = start
+            while 0 <= j < len(edges) and abs(edges[j][0] - aim) <= max(WHOLE * total / shards, abs(edges[start][0] - aim)):
+                near.append(edges[j])
+                j += step
+        for edge in near:
+            off = abs(edge[0] - aim)
+            if best is None or off < best[0]:
+                best = (off, edge[1])
+            if edge[1] % (1 << DOC_BITS) == 0 and off <= WHOLE * total / shards and (whole is None or off < whole[0]):
+                whole = (off, edge[1])
+        if chosen := whole or best:
+            out.append(max(chosen[1], out[-1]) if out else chosen[1])
+    return out
+
+
+def splitters(light: DataFrame, total: int, shards: int) -> list[int]:
+    """(key, doc_id, weight) to the first keys of all shards but the first.
+
+    A size-weighted sample of SAMPLE keys a range gives FINE ranges a shard; all rows are range-partitioned by its
+    quantiles and weighed. A range of over twice its share is subdivided at quantiles of a finer sample of its own, until
+    none is left that holds more than one key (or FAN x FAN ranges are reached). Shards end where ranges do."""
+    parts = min(shards * FINE, FAN * FAN // 2)
+    found = _quantiles(_sample(light, SAMPLE * parts / total), parts)
+    fair = total / parts
+    for again in (True, True, True, True, False):
+        ranged = light.withColumn("range", _range_of(F.col("key"), found))
+        held = {r.range: r for r in ranged.groupBy("range").agg(F.sum("weight").alias("weight"), F.min("key").alias("low"), F.max("key").alias("high")).collect()}
+        over = {r: x for r, x in held.items() if x.weight > 2 * fair and x.low < x.high}
+        if not again or not over or len(found) + sum(int(x.weight / fair) for x in over.values()) >= FAN * FAN:
+            break
+        finer = _sample(ranged.where(F.col("range").isin(list(over))), SAMPLE / fair)
+        more = set()
+        for x in over.values():
+            more.update(_quantiles([(k, m) for k, m in finer if x.low <= k <= x.high], 2 * int(x.weight / fair)))
+        if more <= set(found):
+            break
+        found = sorted(more.union(found))
+    edges, before = [], 0
+    for i, key in enumerate(found):
+        before += held[i].weight if i in held else 0
+        edges.append((before, key))
+    return _boundaries(edges, total, shards)
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, range_rows: int = RANGE_ROWS) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(doc_id, text, ...) to one row per input row: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     Law `bytes`: the shards' sizes are near equal, where a row's size is its text's UTF-8 bytes (null: none)
     plus 8. Records are ordered by a uniform key (40 bits of the text's MD5, 20 of the doc_id's), so equal
-    texts stand together. Size-weighted key samples give quantile boundaries, records are range-partitioned
-    by them, and a range that turns out to hold over twice its rows is subdivided at quantiles of a finer
-    sample of it. Exact running sums within ranges and over the ranges' totals place each record on the line
-    from 0 to all bytes, and the line is cut in equal parts. A group of equal texts goes to one shard unless
-    it exceeds WHOLE of a shard and the largest record; such a group is divided like other records.
-
-    Rows that repeat doc_id and text are counted before the shuffle and dealt out one after the other.
-    Null texts have crc32 0; null doc_ids are kept. The ranges (and so the broadcast table of their totals) number
-    FAN x FAN at most. grown_shard is null under this law. Other columns are ignored; empty gives empty.
+    texts stand together, and shards are ranges of that key (see splitters): they differ from an equal share by half
+    a range (a 128th of a shard) or half a record, whichever is larger, at either end. A group of equal texts is divided
+    only where a shard ends in it and no other end is near.
+
+    Rows are numbered within a shard by hash buckets and the buckets' sums. Rows that repeat doc_id and text are counted
+    before the shuffle and dealt out one after the other. Null texts have crc32 0; null doc_ids are kept.
+    grown_shard is null under this law. Other columns are ignored; empty gives empty.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     light = docs.select(
@@ -68,41 +129,16 @@ def shard(docs: DataFrame, shards: int = SHARDS, range_rows: int = RANGE_ROWS) -
         (F.shiftleft(md5_long(text, 10), DOC_BITS) + md5_long(F.col("doc_id").cast("string"), DOC_BITS // 4)).alias("key"),
     )
     light = cut(light.groupBy("doc_id", "size", "text_crc32", "key").agg(F.count("*").alias("n")).withColumn("weight", F.col("size") * F.col("n")))
-    rows, total, largest = light.agg(F.count("*"), F.sum("weight"), F.max("size")).first()
+    rows, total = light.agg(F.count("*"), F.sum("weight")).first()
     if not rows:
         return docs.sparkSession.createDataFrame([], "doc_id long, size long, text_crc32 long, law string, shard int, slot long, grown_shard int")
-    parts = max(1, min(FAN * FAN // 4, -(-rows // range_rows) + 4 * shards))
-    splitters = _splitters(_sample(light, SAMPLE * parts / total, "weight"), parts)
-    fair = 2 * -(-rows // parts)
-    for _ in range(3):
-        ranged = light.withColumn("range", _range_of(F.col("key"), splitters))
-        counts = {r.range: r["count"] for r in ranged.groupBy("range").count().collect()}
-        over = [r for r, n in counts.items() if n > max(fair, range_rows)]
-        room = FAN * FAN - 1 - len(splitters)
-        if not over or room < 1:
-            break
-        more = min(room, sum(-(-counts[r] // range_rows) for r in over))
-        inside = ranged.where(F.col("range").isin(over)).withColumn("one", F.lit(1.0))
-        finer = _sample(inside, SAMPLE * more / sum(counts[r] for r in over), "one")
-        splitters = sorted({*splitters, *(finer[len(finer) * i // more] for i in range(1, more) if finer)})
-    totals = ranged.groupBy("range").agg(F.sum("weight").alias("b"), F.sum("n").alias("r"))
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select("range", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("base_b"), F.coalesce(F.sum("r").over(before), F.lit(0)).alias("base_r"))
-    order = ["group", "key", "doc_id", "size", "text_crc32"]
-    run = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("range", "group")
-    placed = (
-        ranged.withColumn("group", F.shiftright("key", DOC_BITS))
-        .withColumns({"b": F.coalesce(F.sum("weight").over(run), F.lit(0)), "r": F.coalesce(F.sum("n").over(run), F.lit(0))})
-        .withColumns({"group_b": F.sum("weight").over(whole), "group_at": F.min("b").over(whole)})
-        .join(F.broadcast(base), "range")
-        .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-        .withColumn("at", F.when(F.col("group_b") <= max(WHOLE * total / shards, largest), F.col("base_b") + F.col("group_at") + F.col("group_b") / 2).otherwise(F.col("base_b") + F.col("b") + F.col("copy") * F.col("size") + F.col("size") / 2))
-        .select("doc_id", "size", "text_crc32", F.least(F.floor(F.col("at") * shards / float(total)), F.lit(shards - 1)).cast("int").alias("shard"), (F.col("base_r") + F.col("r") + F.col("copy")).alias("row"))
-    )
-    placed = cut(placed)
-    first = placed.groupBy("shard").agg(F.min("row").alias("first"))
-    return placed.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("row") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    buckets = -(-rows // (shards * SLOT_ROWS))
+    placed = light.withColumn("shard", _range_of(F.col("key"), splitters(light, total, shards)).cast("int")).withColumn("bucket", F.pmod(F.xxhash64("key", "doc_id"), F.lit(buckets)))
+    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = placed.groupBy("shard", "bucket").agg(F.sum("n").alias("b")).select("shard", "bucket", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("base"))
+    run = Window.partitionBy("shard", "bucket").orderBy("key", "doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("r", F.coalesce(F.sum("n").over(run), F.lit(0))).join(base, ["shard", "bucket"])
+    return copies(placed, "n", "copy").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("r") + F.col("copy")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
