@@ -35,6 +35,9 @@ CLASSES = {
 }
 STATS = ["log_bytes", "log_words", "word_bytes", "longest_word", *[f"{c}_share" for c in CLASSES], "stops_per_word", "repeated_next", "distinct_words", "top_word"]
 
+#: What words' hashes are made of.
+_ODD, _BYTES = np.uint64(0x9E3779B97F4A7C15 | 1), np.random.default_rng(1).integers(0, 2**64, 256, np.uint64)
+
 
 def measure(texts: list[bytes]) -> np.ndarray:
     """(texts, STATS): statistics of whole UTF-8 texts. A text without words has 0 for what is per word."""
@@ -44,8 +47,8 @@ def measure(texts: list[bytes]) -> np.ndarray:
     counts = np.array([np.bincount(np.frombuffer(t, np.uint8), minlength=256) for t in texts]).reshape(n, 256)
     for i, members in enumerate(CLASSES.values()):
         out[:, 4 + i] = counts[:, list(members)].sum(1) / np.maximum(1, size)
-    # each text ends with a space, so that no word crosses texts; eight more for the last words' bytes
-    b = np.frombuffer(b" ".join([*texts, b" " * 8]), np.uint8)
+    # each text ends with a space, so that no word crosses texts
+    b = np.frombuffer(b" ".join([*texts, b" "]), np.uint8)
     start = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
     inside = (b != 32) & ((b < 9) | (b > 13))
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
@@ -61,23 +64,25 @@ def measure(texts: list[bytes]) -> np.ndarray:
     some = words > 0
     first = (np.cumsum(words) - words)[some]
     out[:, 1], out[:, 2] = np.log1p(words), np.bincount(owner, length, n) / per
-    out[some, 3] = np.minimum(np.maximum.reduceat(length, first), 1000)
+    out[some, 3] = np.maximum.reduceat(length, first)
     k = 4 + len(CLASSES)
     out[:, k] = counts[:, list(CLASSES["stops"])].sum(1) / per
-    # a word is known by its first and last eight bytes and its length
-    eight = np.ndarray((len(b) - 7,), "<u8", b, strides=(1,))
+    # a word is known by a 64-bit hash of all its bytes: sums of random values of the bytes times powers of an odd number,
+    # brought to the power of the word's first byte
     with np.errstate(over="ignore"):
-        head = eight[begins] & (np.uint64(2**64 - 1) >> (np.uint64(64) - 8 * np.minimum(8, length).astype(np.uint64)))
-        tail = np.where(length > 8, eight[np.maximum(begins, ends - 8)], length.astype(np.uint64))
-        h = head * np.uint64(0x9E3779B97F4A7C15) + (tail ^ length.astype(np.uint64) << np.uint64(56)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        power = np.multiply.accumulate(np.full(len(b), _ODD))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[b] * power)])
+        h = (sums[ends] - sums[begins]) * power[len(b) - 1 - begins] + length.astype(np.uint64)
         h = (h ^ h >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93)
-    same = (h[1:] == h[:-1]) & (owner[1:] == owner[:-1])
+        h ^= h >> np.uint64(29)
+        same = (h[1:] == h[:-1]) & (owner[1:] == owner[:-1])
+        key = (h ^ owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F)
     out[:, k + 1] = np.bincount(owner[1:][same], minlength=n) / per
-    key = np.sort(owner.astype(np.uint64) << np.uint64(40) | h >> np.uint64(24))
-    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    o = (key[new] >> np.uint64(40)).astype(np.int64)
+    order = np.argsort(key, kind="stable")
+    new = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+    o = owner[order[new]]
     out[:, k + 2] = np.bincount(o, minlength=n) / per
-    out[some, k + 3] = np.maximum.reduceat(np.diff([*new, len(key)]), np.searchsorted(o, np.flatnonzero(some)))
+    np.maximum.at(out[:, k + 3], o, np.diff([*new, len(key)]))
     out[:, k + 3] /= per
     return out
 
