@@ -11,10 +11,14 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import table
 
-#: Units of each direction; bytes of a window, in which the states run.
-UNITS, WINDOW = 6, 64
-#: Training: rows for each language, windows from each, windows a step, steps, rate.
-ROWS, CUTS, BATCH, STEPS, RATE = 400, 4, 64, 250, 0.03
+#: Units of each direction; bytes of a window that are labelled, and bytes on either side over which the states run in
+#: before: a byte's label follows from these at least.
+UNITS, WINDOW, CONTEXT = 6, 128, 32
+#: Training: rows for each language, windows from each (at random places of the whole text), their bytes, windows a
+#: step, steps, rate.
+ROWS, CUTS, SPAN, BATCH, STEPS, RATE = 400, 4, 96, 64, 250, 0.03
+#: Share of a text's positions, in probabilities, that its language must have: a document under it has none that was learned.
+FLOOR = 0.4
 #: Bytes of texts that are scored at once, and windows that step together.
 CHUNK, TOGETHER = 4 << 20, 2048
 OUT = "doc_id long, lang_pred string, score double"
@@ -73,16 +77,14 @@ def _probabilities(states: np.ndarray, v: np.ndarray, b: np.ndarray) -> np.ndarr
 
 
 def train(texts: list[tuple[bytes, str]], seed: int = 7) -> dict:
-    """(text, language) to a model: both directions' weights, the output layer, the languages. Cross-entropy at every
-    position of windows, Adam."""
+    """(window of SPAN bytes, language) to a model: both directions' weights, the output layer, the languages. Cross-entropy at
+    every position of windows, Adam."""
     langs = sorted({lang for _, lang in texts})
     rng = np.random.default_rng(seed)
     x, y = [], []
     for raw, lang in texts:
-        for _ in range(CUTS):
-            at = int(rng.integers(0, max(1, len(raw) - WINDOW + 1)))
-            x.append(np.frombuffer(raw[at : at + WINDOW].ljust(WINDOW, b"\0"), np.uint8))
-            y.append(langs.index(lang))
+        x.append(np.frombuffer(raw[:SPAN].ljust(SPAN, b"\0"), np.uint8))
+        y.append(langs.index(lang))
     x, y = np.array(x), np.array(y)
     n, k = UNITS, max(1, len(langs))
     p = {"w0": rng.normal(0, 0.3, (256, 3 * n)), "w1": rng.normal(0, 0.3, (256, 3 * n)), "u0": rng.normal(0, 0.3, (n, 3 * n)), "u1": rng.normal(0, 0.3, (n, 3 * n)), "v": rng.normal(0, 0.3, (2 * n, k)), "b": np.zeros(k)}
@@ -110,13 +112,17 @@ def train(texts: list[tuple[bytes, str]], seed: int = 7) -> dict:
 
 
 def _votes(x: np.ndarray, w: np.ndarray, u: np.ndarray, v: np.ndarray, back: bool, logits: np.ndarray) -> None:
-    """Adds one direction's part of the output layer to logits (time, languages, rows) for byte codes x (time, rows).
-    As _gates and _run, but with the rows last, so that each gate is contiguous; w and u are (3 n, .) here."""
-    n = u.shape[1]
+    """Adds one direction's part of the output layer to logits (time, languages, rows) for byte codes x (CONTEXT + time +
+    CONTEXT, rows), of which 256 is no byte: there the state stays zero. As _gates and _run, but with the rows last, so
+    that each gate is contiguous; w and u are (3 n, .) here."""
+    n, last = u.shape[1], len(logits) + CONTEXT
     w, u = np.ascontiguousarray(w), np.ascontiguousarray(u)
     h = np.zeros((n, x.shape[1]), np.float32)
     g, a, d = (np.empty((3 * n, x.shape[1]), np.float32) for _ in range(3))
-    for t in range(len(x))[:: -1 if back else 1]:
+    for t in range(len(x) - 1, CONTEXT - 1, -1) if back else range(last):
+        there = x[t] < 256
+        if not there.any():
+            continue
         np.take(w, x[t], axis=1, out=g, mode="clip")
         np.dot(u, h, out=a)
         zr, c, e = g[: 2 * n], g[2 * n :], d[: 2 * n]
@@ -134,30 +140,40 @@ def _votes(x: np.ndarray, w: np.ndarray, u: np.ndarray, v: np.ndarray, back: boo
         c -= h
         c *= zr[:n]
         h += c
-        logits[t] += v @ h
+        if not there.all():
+            h *= there
+        if CONTEXT <= t < last:
+            logits[t - CONTEXT] += v @ h
 
 
 def pooled(model: dict, texts: list[bytes]) -> np.ndarray:
-    """Probabilities (texts, languages): the mean over all positions of each whole text. Texts are cut into windows
-    that are run beside each other."""
+    """Probabilities (texts, languages): the mean over all positions of each whole text. Texts are cut into windows that
+    are run beside each other, each with CONTEXT bytes of its text before and after it."""
     k, n = len(model["langs"]), UNITS
     total = np.zeros((len(texts), k), np.float64)
-    lengths = np.array([len(t) for t in texts])
+    lengths = np.array([len(t) for t in texts], np.int64)
     windows = -(-lengths // WINDOW)
     owner = np.repeat(np.arange(len(texts)), windows)
     if not len(owner) or not k:
         return total
-    left = lengths[owner] - WINDOW * (np.arange(len(owner)) - (np.cumsum(windows) - windows)[owner])
-    data = np.frombuffer(b"".join(t.ljust(w * WINDOW, b"\0") for t, w in zip(texts, windows)), np.uint8).reshape(-1, WINDOW)
-    for at in range(0, len(data), TOGETHER):
-        x = np.ascontiguousarray(data[at : at + TOGETHER].T).astype(np.intp)
+    number = np.arange(len(owner)) - (np.cumsum(windows) - windows)[owner]
+    left = lengths[owner] - WINDOW * number
+    # each text is followed by CONTEXT places without a byte, and so are windows at a text's end
+    data = np.concatenate([np.full(CONTEXT, 256, np.int16), *(y for t in texts for y in (np.frombuffer(t, np.uint8).astype(np.int16), np.full(CONTEXT, 256, np.int16))), np.full(WINDOW + CONTEXT, 256, np.int16)])
+    begins = (np.cumsum(lengths + CONTEXT) - lengths)[owner] + WINDOW * number - CONTEXT
+    w = [np.ascontiguousarray(model[f"w{i}"].T) for i in (0, 1)]
+    steps = np.arange(WINDOW + 2 * CONTEXT)[:, None]
+    for at in range(0, len(owner), TOGETHER):
+        first, rest = begins[at : at + TOGETHER], left[at : at + TOGETHER]
+        x = data[first + steps].astype(np.intp)
+        x[steps >= rest + CONTEXT] = 256
         logits = np.repeat(np.repeat(model["b"][None, :, None], WINDOW, 0), x.shape[1], 2)
         for i in (0, 1):
-            _votes(x, model[f"w{i}"].T, model[f"u{i}"].T, np.ascontiguousarray(model["v"][n * i : n * i + n].T), bool(i), logits)
+            _votes(x, w[i], model[f"u{i}"].T, np.ascontiguousarray(model["v"][n * i : n * i + n].T), bool(i), logits)
         logits -= logits.max(1, keepdims=True)
         np.exp(logits, logits)
         logits /= logits.sum(1, keepdims=True)
-        logits *= (np.arange(WINDOW)[:, None] < left[at : at + TOGETHER])[:, None]
+        logits *= (np.arange(WINDOW)[:, None] < rest)[:, None]
         np.add.at(total, owner[at : at + TOGETHER], logits.sum(0).T)
     return total / np.maximum(1, lengths)[:, None]
 
@@ -180,15 +196,18 @@ def _score(model: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 
 def learn(docs: DataFrame, rows: int = ROWS) -> dict:
-    """A model from the text and lang of rows whose crc32(doc_id) mod 4 is not 2: about `rows` of each language, drawn by
-    a hash of doc_id and text, which bounds what the driver gets; the first 16,384 characters of each serve."""
-    known = docs.where("text is not null and lang is not null and crc32(coalesce(cast(doc_id as string), '')) % 4 <> 2").select("doc_id", "lang", F.col("text"))
+    """A model from the text and lang of rows whose crc32(doc_id) mod 4 is not 2: about `rows` of each language, drawn by a
+    hash of doc_id and text, and of each CUTS windows of SPAN bytes at places of the whole text drawn by the same hash. That
+    bounds what the driver gets, however long the texts are."""
+    known = docs.where("text is not null and lang is not null and crc32(coalesce(cast(doc_id as string), '')) % 4 <> 2").select("doc_id", "lang", "text")
     rates = {r.lang: rows / r["count"] for r in known.groupBy("lang").count().collect()}
     if not rates:
         return train([])
     rate = F.element_at(F.create_map(*[F.lit(x) for pair in rates.items() for x in pair]), F.col("lang"))
-    drawn = known.where((F.xxhash64("doc_id", "text") % 2**20 + 2**20) / 2**21 < rate).select(F.substring("text", 1, 1 << 14).alias("text"), "lang")
-    return train([(r.text.encode("utf-8", "surrogatepass"), r.lang) for r in sorted(drawn.collect(), key=lambda r: (r.lang, r.text)) if r.text])
+    drawn = known.where((F.xxhash64("doc_id", "text") % 2**20 + 2**20) / 2**21 < rate).select("lang", F.xxhash64("doc_id", "text").alias("h"), F.encode("text", "UTF-8").alias("b"))
+    cuts = drawn.select("lang", "h", "b", F.explode(F.sequence(F.lit(1), F.lit(CUTS))).alias("i"))
+    windows = cuts.selectExpr("lang", f"substring(b, cast(1 + pmod(xxhash64(h, i), greatest(1, octet_length(b) - {SPAN - 1})) as int), {SPAN}) as w").where("octet_length(w) > 0")
+    return train(sorted((bytes(r.w), r.lang) for r in windows.collect()))
 
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:
@@ -198,14 +217,15 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda batches: _score(model, batches), OUT)
 
 
-def identified(docs: DataFrame, model: dict) -> DataFrame:
-    """docs without the rows that are `und`, with all their columns."""
+def identified(docs: DataFrame, model: dict, floor: float = FLOOR) -> DataFrame:
+    """docs whose language the network tells, with all their columns: those that are `und` go, and those of which no
+    learned language has `floor` of the positions' probability. If no language was learned, all are `und` and go."""
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pair = pa.RecordBatch.from_arrays([pa.nulls(len(batch), pa.int64()), batch.column(batch.schema.get_field_index("text"))], ["doc_id", "text"])
-            said = pa.chunked_array([b.column(1) for b in _score(model, iter([pair]))], pa.string())
-            yield batch.filter(pa.array([x != "und" for x in said.to_pylist()], pa.bool_()))
+            said = [x for b in _score(model, iter([pair])) for x in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield batch.filter(pa.array([lang != "und" and score >= floor for lang, score in said], pa.bool_()))
 
     return docs.mapInArrow(kept, docs.schema)
 

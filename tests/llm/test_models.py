@@ -38,15 +38,17 @@ def test_network_gradients():
 
 def test_fast_scoring_is_the_network():
     rng = random.Random(0)
-    texts = [bytes(rng.randrange(1, 256) for _ in range(n)) for n in (1, 63, 64, 65, 300)] + [b""]
+    texts = [bytes(rng.randrange(1, 256) for _ in range(n)) for n in (1, 31, 32, 127, 128, 129, 160, 500)] + [b""]
     model = langid.train([(t, "ab"[i % 2]) for i, t in enumerate(texts) if t])
     got = langid.pooled(model, texts)
     for t, p in zip(texts, got):
         total = np.zeros(2)
         for at in range(0, len(t), langid.WINDOW):
-            x = np.frombuffer(t[at : at + langid.WINDOW].ljust(langid.WINDOW, b"\0"), np.uint8)[:, None]
-            both = np.concatenate([langid._run(x, model[f"w{i}"], model[f"u{i}"], bool(i)) for i in (0, 1)], -1)
-            total += langid._probabilities(both, model["v"], model["b"])[: len(t) - at, 0].sum(0)
+            stop, before = min(len(t), at + langid.WINDOW), max(0, at - langid.CONTEXT)
+            codes = lambda a, b: np.frombuffer(t[a:b], np.uint8)[:, None]
+            ahead = langid._run(codes(before, stop), model["w0"], model["u0"], False)[at - before :]
+            back = langid._run(codes(at, stop + langid.CONTEXT), model["w1"], model["u1"], True)[: stop - at]
+            total += langid._probabilities(np.concatenate([ahead, back], -1), model["v"], model["b"])[:, 0].sum(0)
         assert np.allclose(p, total / max(1, len(t)), atol=1e-4)
 
 
@@ -67,15 +69,25 @@ def test_language_edges(spark):
     got = langid.identify(docs, model).collect()
     assert len(got) == len(rows + odd) and {r.doc_id for r in got if r.lang_pred == "und"} == {30, 31, 32}
     kept = langid.identified(docs, model)
-    assert kept.columns == docs.columns and kept.count() == len(rows + odd) - 3
+    said = langid.identify(docs, model).where("lang_pred <> 'und' and score >= 0.4")
+    assert kept.columns == docs.columns and kept.count() == said.count() and langid.identified(docs, model, 0.0).count() == len(rows + odd) - 3
+    assert langid.identified(docs, model, 1.01).isEmpty()
     none = spark.createDataFrame([(1, "text", None, None, None)], schema)
     assert [(r.lang_pred, r.score) for r in langid.identify(none, langid.learn(none)).collect()] == [("und", 0.0)]
     assert langid.identify(docs.limit(0), langid.learn(docs.limit(0))).collect() == []
 
 
+def test_training_windows_are_of_the_whole_text(spark, monkeypatch):
+    """Only the end of each text differs between languages, far behind its beginning."""
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda windows, seed=7: seen.extend(windows) or {"langs": []})
+    langid.learn(spark.createDataFrame([(i, "a" * 30_000 + "b" * 30_000, "en") for i in range(20)], "doc_id long, text string, lang string"))
+    assert {len(w) for w, _ in seen} == {langid.SPAN} and 0 < sum(w == b"b" * langid.SPAN for w, _ in seen) < len(seen)
+
+
 def test_statistics_against_plain_python():
     rng = random.Random(1)
-    texts = ["", " \n", "a", "é!", "aa aa b", " lead 1.5, X\n"] + [" ".join(rng.choice(["the", "abcdefghijk", "abcdefghijl", "é", "x#", "1,2", "A|B"]) for _ in range(80)) for _ in range(5)]
+    texts = ["", " \n", "a", "é!", "aa aa b", " lead 1.5, X\n"] + [" ".join(rng.choice(["the", "abcdefghijk", "abcdefghijl", "12345678-abcd-12345678", "12345678-abce-12345678", "é", "x#", "1,2", "A|B", "y" * 1500]) for _ in range(80)) for _ in range(5)]
     got = dict(zip(quality.STATS, quality.measure([t.encode() for t in texts]).T))
     for i, t in enumerate(texts):
         b, w = t.encode(), [x for x in t.replace("\n", " ").split(" ") if x]

@@ -7,6 +7,7 @@ import pytest
 import __spark_entry__
 import corpus_pipeline
 from quillspark.llm.decontam import contaminated
+from quillspark.llm.langid import FLOOR, identify, learn
 from quillspark.llm.simhash import near_duplicates
 
 DATA = "/root/testdata/sf0.001"
@@ -28,7 +29,8 @@ def test_columns_of_documents(stages):
 
 
 def test_language(stages):
-    assert stages[1].count() == sum(any(map(str.isalpha, r.text or "")) for r in stages[0].collect())
+    said = identify(stages[0], learn(stages[0])).where(f"lang_pred <> 'und' and score >= {FLOOR}")
+    assert sorted(r.doc_id for r in stages[1].select("doc_id").collect()) == sorted(r.doc_id for r in said.collect())
 
 
 def test_near_dedup(stages):
