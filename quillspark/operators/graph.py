@@ -9,25 +9,42 @@ from quillspark.plans.duplicates import _CLASSES, _UNITS, duplicate_classes, lin
 from quillspark.plans.registry import kept, query, table
 
 
+def spread_join(rows: DataFrame, ids: DataFrame, key: str, size: str, most: int = 512) -> DataFrame:
+    """The inner join of rows with ids by key (not null in ids), of which ids has one row each; its column `size` tells how
+    many rows hold that key and does not come along. The keys that hold a `most`-th of all rows or more, `most` of
+    them at most, are broadcast, so their rows stay spread; all others are shuffled."""
+    total = ids.agg(F.sum(size)).first()[0] or 0
+    is_hot = F.col(size) * most >= F.lit(total)
+    hot = F.broadcast(ids.where(is_hot).drop(size))
+    rest = rows.join(hot.select(key), key, "left_anti").join(ids.where(~is_hot).drop(size), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(a, b) of one ordered type, any direction, repeats and loops allowed, to (node, component): for each node with a
     link to another the smallest node that links reach.
 
     In each round every node points its neighbourhood at its smallest member, larger neighbours first, then smaller
-    ones; long chains halve, and a hub costs one minimum. Rounds end when no link changes; each is written to the shared
-    folder. Links with a null end are ignored; an empty table gives an empty result.
+    ones; long chains halve. A hub's smallest neighbour is aggregated before the shuffle, and its links meet that by a
+    broadcast (see spread_join), so no task gets them all. Rounds end when no link changes, told by the links' count and
+    the sum of their hashes; each is written to the shared folder. Links with a null end are ignored; an empty table
+    gives an empty result.
     """
     e = kept(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    before = None
     for _ in range(most_rounds):
         around = e.union(e.select("v", "u"))
-        low = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        far = e.select(F.col("v").alias("c"), F.col("u").alias("w")).join(low.withColumnRenamed("u", "c"), "c").select(F.col("w").alias("u"), F.col("m").alias("v")).distinct()
-        low = far.groupBy("u").agg(F.min("v").alias("m"))
-        new = kept(far.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).distinct())
-        if new.exceptAll(e).isEmpty() and e.exceptAll(new).isEmpty():
-            own = new.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            return new.select(F.col("u").alias("node"), F.col("v").alias("component")).union(own)
-        e = new
+        low = kept(around.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+        far = spread_join(e.select(F.col("v").alias("c"), F.col("u").alias("w")), low.where("n > 0").withColumnRenamed("u", "c"), "c", "n").select(F.col("w").alias("u"), F.col("m").alias("v")).distinct()
+        far = kept(far)
+        low = kept(far.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        new = spread_join(far, low, "u", "n").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = kept(new.union(low.select("u", "m")).distinct())
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
+            own = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(own)
+        before = now
     raise RuntimeError(f"components have not settled after {most_rounds} rounds")
 
 
