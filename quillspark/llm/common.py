@@ -42,17 +42,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread_join(rows: DataFrame, ids: DataFrame, key: str, size: str, most: int = 512) -> DataFrame:
-    """The inner join of rows with ids by key (not null in ids), of which ids has one row each; its column `size` tells how
-    many rows hold that key and does not come along. The keys that hold a `most`-th of all rows or more, `most` of
-    them at most, are broadcast, so their rows stay spread; all others are shuffled."""
-    total = ids.agg(F.sum(size)).first()[0] or 0
-    is_hot = F.col(size) * most >= F.lit(total)
-    hot = F.broadcast(ids.where(is_hot).drop(size))
-    rest = rows.join(hot.select(key), key, "left_anti").join(ids.where(~is_hot).drop(size), key)
-    return rows.join(hot, key).unionByName(rest)
-
-
 def copies(rows: DataFrame, n: str, name: str, block: int = 1 << 14) -> DataFrame:
     """Each row n times (n is 1 or more), with its number from 0 in `name`. Rows with large n are made in blocks that are
     spread over tasks, so that a row repeated a billion times is neither one array nor one task's work."""

@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import ascii_lower, cut, spread_join, table, words
-from quillspark.llm.components import connected_components
+from quillspark.llm.common import ascii_lower, copies, cut, table, words
+from quillspark.operators.graph import components, spread_join
 
 #: Counters of two bits share a long, 32 bits each: no text has 2^32 shingles.
 LANES = 32
@@ -34,6 +34,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return per.selectExpr("doc_id", "th", f"coalesce({fp}, 0L) as fp", "copies")
 
 
+#: Crowded keys that are broadcast at most; more are joined by a shuffle.
+BROADCAST_KEYS = 200_000
+
+
 def links(fps: DataFrame, crowd: int = 4096) -> DataFrame:
     """fps: distinct (fp long). All pairs (a, b) of fingerprints that differ in three bits or fewer are
     connected by the links returned; each link holds.
@@ -42,38 +46,38 @@ def links(fps: DataFrame, crowd: int = 4096) -> DataFrame:
     are each half as it is and with each of its 32 bits wiped; the side with the wiped bit 0 meets the side
     with it 1, so a pair meets where it differs and nowhere else. The equality join verifies all 64 bits.
 
-    Where over `crowd` different fingerprints share a half, their pairs among themselves are not formed.
-    These fingerprints meet under each wipe of three of the 64 bits instead: all that share such a key
-    differ in three bits at most, so linking each to the key's smallest loses nothing and is linear.
+    In a key that over `crowd` fingerprints may share (told by the counts of the halves that lead to it) no pairs are
+    formed. There the other half is indexed in turn, with two of its bits wiped, or three where the first half is
+    whole: 496 or 4,960 rows a fingerprint and key. All that share both keys differ in three bits at most, so linking each
+    to the smallest loses nothing and is linear in the fingerprints, whatever their number.
     """
-    halves = fps.selectExpr("fp", "explode(array(0, 1)) as half").selectExpr("fp", "half", "fp & if(half = 0, 4294967295L, -4294967296L) as v")
-    full = cut(halves.groupBy("half", "v").count().where(F.col("count") > crowd).select("half", "v"))
-    any_full = not full.isEmpty()
-    if any_full:
-        marked = halves.join(full.withColumn("full", F.lit(True)), ["half", "v"], "left").groupBy("fp").agg(F.max(F.expr("half = 0 and full is not null")).alias("full0"), F.max(F.expr("half = 1 and full is not null")).alias("full1"))
-        marked = cut(marked)
-    else:
-        marked = fps.withColumns({"full0": F.lit(False), "full1": F.lit(False)})
-    keys = marked.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(65)))).selectExpr(
+    halves = fps.selectExpr("explode(array(0, 1)) as half", "fp").selectExpr("half", "fp & if(half = 0, 4294967295L, -4294967296L) as v")
+    full = cut(halves.groupBy("half", "v").count().where(F.col("count") * 2 > crowd).select("half", "v"))
+    keys = fps.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(65)))).selectExpr(
         "c",
         "fp & if(c < 32 or c = 64, 4294967295L, -4294967296L) & if(c < 64, ~shiftleft(1L, c), -1L) as v",
         "fp",
-        "if(c < 32 or c = 64, full0, full1) as full",
         "if(c < 64, cast(shiftrightunsigned(fp, c) & 1 as int), 2) as side",
     )
-    zero = keys.where("side <> 1").select("c", "v", F.col("fp").alias("a"), F.col("full").alias("full_a"))
-    one = keys.where("side <> 0").select("c", "v", F.col("fp").alias("b"), F.col("full").alias("full_b"))
-    met = zero.join(one, ["c", "v"]).where("(c < 64 or a < b) and not (full_a and full_b) and bit_count(a ^ b) <= 3").select("a", "b")
-    if any_full:
-        wiped = (
-            marked.where("full0 or full1")
-            .select("fp", F.explode(F.sequence(F.lit(2), F.lit(63))).alias("i"))
-            .selectExpr("fp", "i", "explode(sequence(1, i - 1)) as j")
-            .selectExpr("fp", "i", "j", "explode(sequence(0, j - 1)) as k")
-            .selectExpr("fp", "cast(i * 4096 + j * 64 + k as int) as c", "fp & ~(shiftleft(1L, i) | shiftleft(1L, j) | shiftleft(1L, k)) as v")
-        )
-        hub = wiped.groupBy("c", "v").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-        met = met.union(wiped.join(hub, ["c", "v"]).where("fp <> b").select(F.col("fp").alias("a"), "b"))
+    n_full = full.count()
+    crowded = None
+    if n_full:
+        # the keys that a full half leads to: itself, and with each of its bits wiped
+        led = full.selectExpr("half", "v", "explode(sequence(0, 32)) as i").selectExpr("if(i = 32, 64 + half, 32 * half + i) as c", "if(i = 32, v, v & ~shiftleft(1L, 32 * half + i)) as v").distinct()
+        led = F.broadcast(led) if n_full * 33 <= BROADCAST_KEYS else led
+        crowded, keys = keys.join(led, ["c", "v"]), keys.join(led, ["c", "v"], "left_anti")
+    zero = keys.where("side <> 1").select("c", "v", F.col("fp").alias("a"))
+    one = keys.where("side <> 0").select("c", "v", F.col("fp").alias("b"))
+    met = zero.join(one, ["c", "v"]).where("(c < 64 or a < b) and bit_count(a ^ b) <= 3").select("a", "b")
+    if crowded is not None:
+        base = "if(c < 32 or c = 64, 32, 0)"  # the first bit of the other half
+        two = crowded.selectExpr("c", "fp", f"explode(sequence({base} + 1, {base} + 31)) as i").selectExpr("c", "fp", "i", f"explode(sequence({base}, i - 1)) as j")
+        three = two.where("c >= 64 and j > if(c = 64, 32, 0)").selectExpr("c", "fp", "i", "j", f"explode(sequence({base}, j - 1)) as k")
+        wipe = lambda *bits: " | ".join(f"shiftleft(1L, {b})" for b in bits)
+        wiped = two.where("c < 64").selectExpr("fp", "cast(c * 262144 + i * 4096 + j * 64 as int) as w", f"fp & ~({wipe('c', 'i', 'j')}) as v")
+        wiped = wiped.union(three.selectExpr("fp", "cast(c * 262144 + i * 4096 + j * 64 + k as int) as w", f"fp & ~({wipe('i', 'j', 'k')}) as v"))
+        hub = wiped.groupBy("w", "v").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
+        met = met.union(wiped.join(hub, ["w", "v"]).where("fp <> b").select(F.col("fp").alias("a"), "b"))
     return met.distinct()
 
 
@@ -82,10 +86,10 @@ def _grouped(docs: DataFrame, crowd: int) -> DataFrame:
     documents and a component of many fingerprints stay spread over tasks."""
     fp = cut(fingerprints(docs.select("doc_id", "text")))
     nodes = cut(fp.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("docs")))
-    roots = connected_components(links(nodes.select("fp"), crowd))
-    linked = cut(nodes.join(roots.withColumnRenamed("node", "fp"), "fp"))
-    components = cut(linked.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("prints")))
-    named = spread_join(linked.select("fp", "root"), components, "root", "prints")
+    roots = components(links(nodes.select("fp"), crowd)).toDF("fp", "root")
+    linked = cut(nodes.join(roots, "fp"))
+    sizes = cut(linked.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("prints")))
+    named = spread_join(linked.select("fp", "root"), sizes, "root", "prints")
     ids = nodes.join(named, "fp", "left").selectExpr("fp", "docs", "coalesce(root, fp) as root", "coalesce(component_id, rep) as component_id")
     return spread_join(fp, cut(ids), "fp", "docs")
 
@@ -98,8 +102,7 @@ def near_duplicates(docs: DataFrame, crowd: int = 4096) -> DataFrame:
     it has. Null and blank texts share fingerprint 0. Null doc_ids keep their rows; a component of null
     doc_ids only has a null component_id. Other columns are ignored; an empty table gives an empty result.
     """
-    out = _grouped(docs, crowd).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return out.selectExpr("doc_id", "lower(lpad(hex(fp), 16, '0')) as fingerprint", "component_id")
+    return copies(_grouped(docs, crowd), "copies", "copy").selectExpr("doc_id", "lower(lpad(hex(fp), 16, '0')) as fingerprint", "component_id")
 
 
 def deduplicated(docs: DataFrame, crowd: int = 4096) -> DataFrame:

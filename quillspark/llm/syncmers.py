@@ -24,7 +24,9 @@ def _places(rows: DataFrame, keep: list[str], k: int = K, s: int = S) -> DataFra
     """rows: keep, b (bytes that begin at byte `base` of a text of `whole` bytes). keep, p, h for every place p of b: h is the
     hash of the k-mer there if it is a closed syncmer, that is if the smallest hash of its s-mers is that of the first
     or the last of them, else null; the choice depends on the k-mer alone. Of a text of under k bytes the anchor is all
-    of it. There is a row at the first place whatever stands there. Long texts are taken in blocks that overlap, so a
+    of it. The hash of a k-mer that repeats itself at a distance of under n = k - s + 1 bytes is positive, that of any other
+    negative: there are few of the former, and a text that consists of one has nothing else, so they come first where
+    the smallest is looked for. There is a row at the first place whatever stands there. Long texts are taken in blocks that overlap, so a
     block's places are all that is in memory.
 
     Nothing is filtered here: a filter would be evaluated with copies of the hashes of which one is enough."""
@@ -37,7 +39,9 @@ def _places(rows: DataFrame, keep: list[str], k: int = K, s: int = S) -> DataFra
     # substrings are hashed inside the loop that makes the places, in generated code
     hashed = at.selectExpr(*keep, "whole", "octet_length(b) as octets", "base + i as p", "b", *[f"xxhash64(substring(b, i + {j + 1}, {s})) as s{j}" for j in range(n)])
     edge = f"s0 <= least({', '.join(f's{j}' for j in range(1, n))}) or s{n - 1} <= least({', '.join(f's{j}' for j in range(n - 1))})"
-    return hashed.selectExpr(*keep, "p", f"case when octets >= {k} then if({edge}, xxhash64(s0, s{n - 1}), null) when whole between 1 and {k - 1} then xxhash64(b) end as h")
+    again = " or ".join(f"s0 = s{j}" for j in range(1, n))
+    kmer = f"if({again}, xxhash64(s0, s{n - 1}) & {2**63 - 1}L, xxhash64(s0, s{n - 1}) | shiftleft(1L, 63))"
+    return hashed.selectExpr(*keep, "p", f"case when octets >= {k} then if({edge}, {kmer}, null) when whole between 1 and {k - 1} then xxhash64(b) | shiftleft(1L, 63) end as h")
 
 
 def anchors(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
@@ -49,15 +53,20 @@ def anchors(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
 
 def _sketched(places: DataFrame, key: list[str], carry: list[str]) -> DataFrame:
     """places: key, carry, p, h, own (the place belongs to the text), edit (it belongs to the edited text, too). key, carry,
-    v, e: the slots of the text and of the edited text. A slot holds the anchor with the smallest hash among those that
-    fall to it: 31 bits of the hash, its first and its last place."""
+    v, v_last, e, e_last: the slots of the text and of the edited text. A slot holds the anchor with the smallest hash among
+    those that fall to it: 31 bits of the hash above its first place, and its last place apart."""
     value = "shiftleft(shiftrightunsigned(h, 33), 31)"
     least = [F.expr(f"min(if({x}, {value} + {at}, null))").alias(f"{x}_{name}") for x in ("own", "edit") for name, at in (("first", "p"), ("last", f"({PLACES} - p)"))]
     per = places.withColumn("slot", F.expr(f"h & {SLOTS - 1}")).groupBy(*key, "slot").agg(*[F.max(x).alias(x) for x in carry], *least)
-    one = lambda x: F.when(F.col(f"{x}_first").isNotNull(), F.struct(F.shiftrightunsigned(f"{x}_first", 31).alias("h"), F.col(f"{x}_first").bitwiseAND(PLACES).alias("first"), (PLACES - F.col(f"{x}_last").bitwiseAND(PLACES)).alias("last"))).alias(x)
-    slots = F.map_from_entries(F.collect_list(F.when(F.col("slot").isNotNull(), F.struct("slot", F.struct(one("own"), one("edit")).alias("both")))))  # SLOTS entries at most
+    last = lambda x: (PLACES - F.col(f"{x}_last").bitwiseAND(PLACES)).cast("int").alias(f"{x}_last")
+    slots = F.map_from_entries(F.collect_list(F.when(F.col("slot").isNotNull(), F.struct("slot", F.struct("own_first", last("own"), "edit_first", last("edit")).alias("both")))))  # SLOTS entries at most
     found = per.groupBy(*key).agg(*[F.max(x).alias(x) for x in carry], slots.alias("m"))
-    return found.select(*key, *carry, *[F.expr(f"transform(sequence(0L, {SLOTS - 1}L), i -> m[i].{x})").alias(name) for x, name in (("own", "v"), ("edit", "e"))])
+    return found.select(*key, *carry, *[F.expr(f"transform(sequence(0L, {SLOTS - 1}L), i -> m[i].{x})").alias(name) for x, name in (("own_first", "v"), ("own_last", "v_last"), ("edit_first", "e"), ("edit_last", "e_last"))])
+
+
+def _slots(x: str) -> Column:
+    """The slots that _sketched() packs, as structs of h, first and last; null where no anchor falls."""
+    return F.expr(f"transform({x}, (y, i) -> if(y is null, null, named_struct('h', shiftrightunsigned(y, 31), 'first', y & {PLACES}L, 'last', cast({x}_last[i] as bigint))))").alias(x)
 
 
 def _text(slots: str) -> Column:
@@ -136,11 +145,12 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     pair = pair.select("k", "th", "same", *carry, "x.*")
     places = _places(pair, ["k", "th", "own", "same", *carry]).withColumn("edit", F.expr(f"not own or p + {K} <= same"))
     one = cut(_sketched(places, ["k", "th"], carry))
-    following = one.select(F.col("k").alias("next"), F.col("th").alias("next_th"), F.col("v").alias("f"), F.col("size").alias("size_f"))
+    following = one.select(F.col("k").alias("next"), F.col("th").alias("next_th"), F.col("v").alias("f"), F.col("v_last").alias("f_last"), F.col("size").alias("size_f"))
     out = one.join(order, "k").join(following, ["next", "next_th"])
     if repeated:
         times = base.groupBy("k", F.xxhash64("text").alias("th")).agg(F.count("*").alias("copies"))
         out = copies(out.join(times, ["k", "th"]), "copies", "copy")
+    out = out.select("k", "n_chars", *[f"sha{i}" for i in range(4)], "size", "size_e", "size_f", *map(_slots, "vef"))
     return out.select(
         F.expr(f"nullif(k, {LAST}L)").alias("doc_id"),
         "n_chars",

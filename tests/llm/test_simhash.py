@@ -4,8 +4,8 @@ import re
 import pytest
 import xxhash
 
-from quillspark.llm.common import spread_join
-from quillspark.llm.simhash import near_duplicates
+from quillspark.llm.simhash import links, near_duplicates
+from quillspark.operators.graph import components, spread_join
 
 SCHEMA = "doc_id long, text string, component_id string"
 
@@ -51,6 +51,37 @@ def test_against_brute_force(spark, crowd):
     assert sorted(map(tuple, got), key=str) == brute(r)
 
 
+@pytest.mark.parametrize("crowd", [40, 0])
+def test_links_at_every_crowd(spark, crowd):
+    """Full halves beside halves that are not, on either side: the components are those of all pairs."""
+    rng = random.Random(8)
+    low, high = [rng.getrandbits(32) for _ in range(3)], [rng.getrandbits(32) for _ in range(3)]
+    fps = {rng.getrandbits(64) for _ in range(30)}
+    for _ in range(60):  # one half of many values beside one, and neighbours of that one in one bit
+        fps.add(low[0] | rng.getrandbits(32) << 32)
+        fps.add(low[0] ^ 1 << rng.randrange(32) | high[1] << 32)
+        fps.add(rng.getrandbits(32) | high[2] << 32)
+    for f in rng.sample(sorted(fps), 80):
+        for n in (1, 2, 3, 4):
+            fps.add(f ^ sum(1 << b for b in rng.sample(range(64), n)))
+    fps = sorted(fps)
+    want = {f: f for f in fps}
+    for _ in fps:
+        before = dict(want)
+        for i, f in enumerate(fps):
+            for g in fps[:i]:
+                if (f ^ g).bit_count() <= 3:
+                    want[f] = want[g] = min(want[f], want[g])
+        if before == want:
+            break
+    signed = lambda f: f - 2**64 if f >= 2**63 else f
+    got = links(spark.createDataFrame([(signed(f),) for f in fps], "fp long"), crowd).collect()
+    assert all(((r.a ^ r.b) % 2**64).bit_count() <= 3 for r in got)
+    of = {r.node % 2**64: r.component for r in components(spark.createDataFrame(got, "a long, b long")).collect()}
+    groups = lambda m: {frozenset(f for f in m if m[f] == x) for x in set(m.values())}
+    assert groups({f: of.get(f, ("alone", f)) for f in fps}) == groups(want)
+
+
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
 

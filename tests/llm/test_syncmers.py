@@ -20,13 +20,14 @@ def signed(v):
 def brute_anchors(text):
     b = text.encode()
     if len(b) < K:
-        return [(0, xxhash.xxh64_intdigest(b, 42))] if b else []
+        return [(0, xxhash.xxh64_intdigest(b, 42) | 2**63)] if b else []
     out = []
     for p in range(len(b) - K + 1):
         s = [signed(xxhash.xxh64_intdigest(b[p + j : p + j + S], 42)) for j in range(K - S + 1)]
         if min(s) in (s[0], s[-1]):
             h = xxhash.xxh64_intdigest((s[0] & MASK).to_bytes(8, "little"), 42)
-            out.append((p, xxhash.xxh64_intdigest((s[-1] & MASK).to_bytes(8, "little"), h)))
+            h = xxhash.xxh64_intdigest((s[-1] & MASK).to_bytes(8, "little"), h)
+            out.append((p, h & 2**63 - 1 if s[0] in s[1:] else h | 2**63))
     return out
 
 
