@@ -6,7 +6,8 @@ import pytest
 
 from quillspark.functions.strings import amount_of_capitals
 from quillspark.operators.matching import best_match_line, classes, fuzzy_greedy, greedy, greedy_nn, matched_texts, similar_sets
-from quillspark.plans.duplicates import dup_lines, dup_links, line_units, shared_units
+from quillspark.plans import duplicates
+from quillspark.plans.duplicates import dup_lines, dup_links, dup_pairs, line_units, shared_units, sharing_pairs
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -65,6 +66,23 @@ def test_sets_that_share_enough_against_all_pairs(spark, least, enough):
     assert {(r.g, r.l, r.r, r.shared) for r in got} == want and len(got) == len(want) > 0
 
 
+@pytest.mark.parametrize("block", [256, 7])
+def test_pairs_of_one_shared_line(spark, monkeypatch, block):
+    monkeypatch.setattr(duplicates, "BLOCK", block)
+    docs = [("s", i, "a line that stands everywhere\n" + "\n".join(f"line of some {j}" for j in range(6) if i >> j & 1)) for i in range(60)] + [(None, 99, None), (None, None, "a line that stands everywhere"), ("s", 100, docs_like(0))]
+    sets = {}
+    for s, d, t in docs:
+        if t and d is not None:
+            sets.setdefault((s, frozenset(x.replace(" ", "") for x in t.split("\n") if len(x) > 9)), d)
+    want = {(s, *sorted((a, b)), len(x & y)) for ((s, x), a), ((t, y), b) in itertools.combinations(sets.items(), 2) if s == t and x & y}
+    got = sharing_pairs(line_units(spark.createDataFrame(docs, "source string, doc_id long, text string"))).collect()
+    assert {(r.source, r.left_doc, r.right_doc, r.shared) for r in got} == want and len(got) == len(want)
+
+
+def docs_like(i):
+    return "a line that stands everywhere\n" + "\n".join(f"line of some {j}" for j in range(6) if i >> j & 1)
+
+
 def test_links_and_lines_leave_no_pair_out(spark):
     sf = SF.replace("0.001", "0.01")
     docs = duckdb.sql(f"select source, doc_id, text from '{sf}/documents.parquet'").fetchall()
@@ -83,6 +101,8 @@ def test_links_and_lines_leave_no_pair_out(spark):
             else:
                 want[l, r] = risk
     assert {(r.left_doc, r.right_doc): r.risk for r in dup_links(spark, sf).collect()} == want
+    every = {(r.left_doc, r.right_doc): r.risk for r in dup_pairs(spark, sf).collect()}
+    assert every == want | dict.fromkeys(low, "low")
     held = {}
     for r in dup_lines(spark, sf).collect():
         held.setdefault((r.source, r.h), []).append(r.class_id)
