@@ -64,23 +64,45 @@ def similar_sets(sets: DataFrame, group: str, key: str, least: float, enough: in
     return out.where(alike if enough is None else alike | (F.col("shared") >= enough))
 
 
+def similar_to(left: DataFrame, right: DataFrame, key: str, other: str, least: float) -> DataFrame:
+    """(key, s array<string>), (other, s) to key, other, similarity: all pairs of a row of the left and one of the right whose
+    Jaccard similarity is `least` or more; rows of one side never meet. Exact as similar_sets() is: values are ordered from the
+    rarest of both sides up, and only the first n - ceil(least n) + 1 of each set make candidates. Empty and null sets and
+    null keys are similar to nothing."""
+    sides = [(left, key), (right, other)]
+    each = [d.where(f"size(s) > 0 and {k} is not null").select(F.col(k).alias("k"), F.size("s").alias("n"), F.explode("s").alias("h")) for d, k in sides]
+    often = each[0].select("h").union(each[1].select("h")).groupBy("h").agg(F.count("*").alias("f"))
+    rare = Window.partitionBy("k").orderBy("f", "h")
+    l, r = (kept(e.join(often, "h").withColumn("i", F.row_number().over(rare)).where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1)).alias(x) for e, x in zip(each, "lr"))
+    met = l.join(r, (F.col("l.h") == F.col("r.h")) & (F.least("l.n", "r.n") >= F.lit(least - 1e-9) * F.greatest("l.n", "r.n"))).select(F.col("l.k").alias("a"), F.col("r.k").alias("b")).distinct()
+    met = met.join(left.select(F.col(key).alias("a"), F.col("s").alias("sl")), "a").join(right.select(F.col(other).alias("b"), F.col("s").alias("sr")), "b")
+    shared = F.size(F.array_intersect("sl", "sr"))
+    out = met.select(F.col("a").alias(key), F.col("b").alias(other), (shared / (F.size("sl") + F.size("sr") - shared)).alias("similarity"))
+    return out.where(F.col("similarity") >= least - 1e-9)
+
+
 def greedy(edges: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """(keys, a, b, ...) to the edges that a greedy one-to-one matching takes: best first by `order` (which must leave no ties
+    """(keys, a, b, ...) to the edges that a greedy one-to-one matching takes: smallest first by `order` (which must leave no ties
     within keys), each a and each b of a group once.
 
     An edge that is the best of both its ends is taken by the greedy walk whatever else there is; each round takes all
     of those and removes what they block. Rounds end when no edge is left; each is written to the shared folder. No
     group is ever one task's.
     """
-    left, taken = kept(edges), None
+    left, taken = kept(edges.withColumns({f"_o{i}": x for i, x in enumerate(order)})), None
     while not left.isEmpty():
-        at = lambda side: F.row_number().over(Window.partitionBy(*keys, side).orderBy(*order))
-        best = kept(left.withColumns({"_a": at("a"), "_b": at("b")}).where("_a = 1 and _b = 1").drop("_a", "_b"))
+        # the least of an order's columns by an aggregate, which is combined before the shuffle
+        names = [f"_o{i}" for i in range(len(order))]
+        first = lambda side: left.groupBy(*keys, side).agg(F.min(F.struct(*names)).alias("_first")).alias("f")
+        best = left.alias("e")
+        for side in ("a", "b"):
+            best = best.join(first(side), same("e", "f", *keys, side) & (F.struct(*[F.col(f"e.{n}") for n in names]) == F.col("_first")), "left_semi").alias("e")
+        best = kept(best)
         taken = best if taken is None else taken.union(best)
         for side in ("a", "b"):
             left = left.alias("e").join(best.select(*keys, side).alias("t"), same("e", "t", *keys, side), "left_anti")
         left = kept(left)
-    return edges.limit(0) if taken is None else taken
+    return edges.limit(0) if taken is None else taken.select(*edges.columns)
 
 
 @F.pandas_udf(returnType=DoubleType())
@@ -112,7 +134,7 @@ def matched_texts(left: DataFrame, right: DataFrame, group: str, least: float) -
     short, long = F.least(F.char_length("ta"), F.char_length("tb")), F.char_length("ta") + F.char_length("tb")
     p = x.join(y, same("x", "y", group) & (F.col("x.band") == F.col("y.band"))).where((F.col("ta") != F.col("tb")) & (2 * short >= F.lit(least) * long))
     scored = p.select(f"x.{group}", "a", "b", ratio_from("ta", "tb", F.lit(least)).alias("ratio")).where(F.col("ratio") >= least)
-    return greedy(scored, [group], [F.desc("ratio"), F.desc("a"), F.desc("b")])
+    return greedy(scored, [group], [-F.col("ratio"), -F.col("a"), -F.col("b")])
 
 
 @query()

@@ -30,20 +30,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _shared(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a local folder is made only where neither the session nor its context names one."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. A folder of this machine is made only where neither
+    the session nor its context names one and all executors are on it; a cluster must name one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillspark-"))
     return (named or spark.sparkContext.getCheckpointDir()).rstrip("/")
 
 
 def kept(df: DataFrame) -> DataFrame:
     """The rows of df, computed now and kept in the shared folder, so that a lost executor costs no recomputation."""
-    _shared(df.sparkSession)
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def kept_folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
