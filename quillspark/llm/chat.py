@@ -15,6 +15,8 @@ from quillspark.llm.common import table
 #: The template. A turn is its role's opening, the text, the closing; other roles are named after [ROLE] on a line.
 MARKS = {"user": ("[INST] ", " [/INST]"), "assistant": ("<s>", "</s>")}
 OTHER = ("[ROLE]", "[/ROLE]")
+#: Roles whose texts are under the loss mask.
+LOSS = ("assistant",)
 #: Control strings: a text holds none of them once it is escaped.
 CONTROL = re.compile(r"\[/?(?:INST|ROLE)\]|</?s>")
 _ESCAPED = re.compile(r"\\\\|([\[<])\\(/?(?:INST|ROLE)\]|/?s>)")
@@ -31,17 +33,23 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(lambda m: m[1] + m[2] if m[1] else "\\", text)
 
 
-def parse(rendered: str) -> list[tuple[str, str]]:
-    """The turns of a formatted conversation. Deterministic: at each place one kind of turn can begin, and it ends at
-    the first closing. Raises ValueError on anything else."""
-    turns, at = [], 0
-    while at < len(rendered):
-        m = _TURN.match(rendered, at)
-        if not m:
-            raise ValueError(f"no turn begins at {at}")
+def turns_in(rendered: str, at: int = 0) -> Iterator[tuple[str, str, int, int, int]]:
+    """The turns that a formatted string holds from `at` on: role, text, first and last place of the text as it stands there
+    (escaped), place after the turn. Deterministic: at each place one kind of turn can begin, and it ends at the first
+    closing. Stops where no whole turn begins."""
+    while m := _TURN.match(rendered, at):
         role = m.lastgroup if m.lastgroup != "other" else unescape(_ROLE.sub(lambda x: "\n" if x[1] == "n" else "\\", m["role"]))
-        turns.append((role, unescape(m[m.lastgroup])))
         at = m.end()
+        yield role, unescape(m[m.lastgroup]), *m.span(m.lastgroup), at
+
+
+def parse(rendered: str) -> list[tuple[str, str]]:
+    """The turns of a formatted conversation. Raises ValueError on anything that is no whole number of turns."""
+    turns, at = [], 0
+    for role, text, _, _, at in turns_in(rendered):
+        turns.append((role, text))
+    if at != len(rendered):
+        raise ValueError(f"no turn begins at {at}")
     return turns
 
 
@@ -82,47 +90,84 @@ def formatted(conversations: DataFrame) -> DataFrame:
 _DIGEST = [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]
 
 
-def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams over turns that stand sorted by conversation; of an open conversation only sums and hash states are kept."""
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Of strings that stand sorted by conversation, each conversation's joined string read turn by turn: (conv_id, role,
+    text, start, stop, size) with places in the joined string, and at its end (conv_id, None, None, size, size, size). Of
+    an open conversation only what is not yet a whole turn is kept."""
     none = object()
-    key, turns, loss, n, chars, size, done = none, None, None, 0, 0, 0, []
+    key, open_text, size = none, "", 0
 
-    def close() -> None:
+    def ended() -> Iterator[tuple]:
+        if open_text:
+            raise ValueError(f"conversation {key} does not end with a turn")
         if key is not none:
-            done.append((key, n, turns.hexdigest(), chars, loss.hexdigest(), size))
-
-    def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], kind) for i, (_, kind) in enumerate(_DIGEST)], [name for name, _ in _DIGEST])
-        done.clear()
-        return out
+            yield key, None, None, size, size, size
 
     for batch in batches:
         for conv, rendered in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if key is none or conv != key:
-                close()
-                key, turns, loss, n, chars, size = conv, hashlib.sha256(), hashlib.sha256(), 0, 0, 0
-            for role, text in parse(rendered):
-                turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-                n += 1
-                if role == "assistant":
-                    loss.update(text.encode("utf-8", "surrogatepass"))
-                    chars += len(text)
-            size += len(rendered)
-        if done:
-            yield flush()
-    close()
+                yield from ended()
+                key, open_text, size = conv, "", 0
+            open_text, at = open_text + rendered, 0
+            for role, text, start, stop, at in turns_in(open_text):
+                yield key, role, text, size + start, size + stop, size + at
+            open_text, size = open_text[at:], size + at
+    yield from ended()
+
+
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each conversation sums and hashes; the loss text is what stands under the mask, that is at the places of
+    assistants' texts, unescaped."""
+    fresh = lambda: [0, hashlib.sha256(), 0, hashlib.sha256()]
+    state, done = fresh(), []
+    as_batch = lambda: pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], kind) for i, (_, kind) in enumerate(_DIGEST)], [name for name, _ in _DIGEST])
+    for conv, role, text, _, _, size in _read(batches):
+        if role is None:
+            done.append((conv, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), size))
+            state = fresh()
+            if len(done) == 1000:
+                yield as_batch()
+                done = []
+            continue
+        state[0] += 1
+        state[1].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+        if role in LOSS:
+            state[2] += len(text)
+            state[3].update(text.encode("utf-8", "surrogatepass"))
     if done:
-        yield flush()
+        yield as_batch()
+
+
+def _masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = []
+    as_batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["conv_id", "start", "stop"])
+    for conv, role, _, start, stop, _ in _read(batches):
+        if role in LOSS:
+            rows.append((conv, start, stop))
+        if len(rows) == 1000:
+            yield as_batch()
+            rows = []
+    if rows:
+        yield as_batch()
+
+
+def _ordered(chats: DataFrame) -> DataFrame:
+    return chats.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted").select("conv_id", "formatted")
+
+
+def loss_mask(chats: DataFrame) -> DataFrame:
+    """formatted() to (conv_id, start, stop): the places, in code points of a conversation's joined string, on which loss
+    falls, a row for each assistant's text as it stands there, escaped. Texts of no characters are empty places."""
+    return _ordered(chats).mapInArrow(_masked, "conv_id long, start long, stop long")
 
 
 def read_back(chats: DataFrame) -> DataFrame:
-    """formatted() to one row for each conversation, read back from the formatted strings alone: n_turns,
-    turns_sha256, loss_chars, loss_sha256, formatted_chars. Loss falls on what assistants say.
+    """formatted() to one row for each conversation, read back from its joined string alone: n_turns, turns_sha256,
+    loss_chars, loss_sha256, formatted_chars. Loss falls on what assistants say (see loss_mask).
 
-    Turns are ordered by turn, then role, then string, nulls first. A conversation is hashed in one task as it
+    Turns are ordered by turn, then role, then string, nulls first. A conversation is read and hashed in one task as it
     streams by, whatever its length; rendering, checking and escaping are spread over all tasks before."""
-    ordered = chats.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted")
-    return ordered.select("conv_id", "formatted").mapInArrow(_digested, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return _ordered(chats).mapInArrow(_digested, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

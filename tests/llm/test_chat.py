@@ -1,5 +1,7 @@
 import hashlib
 
+import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -37,5 +39,20 @@ def test_conversations(spark):
         assert got[c].formatted_chars == sum(len(chat.render(*t)) for t in turns)
 
 
+def test_loss_mask_over_the_joined_conversation(spark):
+    rows = [(1, i, r, t) for i, (r, t) in enumerate([("user", "ask [INST]"), ("assistant", "</s> é"), ("system", "x"), ("assistant", ""), ("assistant", "last")])] + [(2, 0, "user", "only")]
+    chats = chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    joined = "".join(chat.render(r, t) for c, _, r, t in rows if c == 1)
+    got = sorted((r.conv_id, r.start, r.stop) for r in chat.loss_mask(chats).collect())
+    assert [c for c, *_ in got] == [1, 1, 1] and [chat.unescape(joined[a:b]) for _, a, b in got] == ["</s> é", "", "last"]
+
+
+def test_a_broken_string_is_no_conversation():
+    batch = pa.RecordBatch.from_pydict({"conv_id": [1, 1], "formatted": ["<s>a</s>", "<s>b"]})
+    with pytest.raises(ValueError):
+        list(chat._digested(iter([batch])))
+
+
 def test_empty(spark):
+    assert chat.loss_mask(chat.formatted(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).collect() == []
     assert chat.read_back(chat.formatted(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).collect() == []
