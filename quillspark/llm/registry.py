@@ -19,4 +19,4 @@ QUERIES = {
         simhash.op10_simhash_near_dedup,
     )
 }
-ORACLE_SQL = {"op3_warc": warc.OP3_SQL, "op4_decontamination": decontam.OP4_SQL, "op5_mixing": mixing.OP5_SQL, "op9_chat": chat.OP9_SQL}
+ORACLE_SQL = {"op3_warc": warc.OP3_SQL, "op4_decontamination": decontam.OP4_SQL, "op5_mixing": mixing.OP5_SQL, "op7_secrets": secrets.OP7_SQL, "op9_chat": chat.OP9_SQL}

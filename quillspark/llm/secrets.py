@@ -88,3 +88,32 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
+
+
+def _found(kind: int, rx: str) -> str:
+    return f"SELECT doc_id, {kind} AS kind, string_split_regex(t, '{rx}') AS gaps, regexp_extract_all(t, '{rx}') AS ms FROM d"
+
+
+_RX = [x[1].replace("'", "''") for x in (*BASE, *WEAK)]
+#: The same rows in SQL. Its patterns know no look-around, so keys are whole runs that are tested afterwards.
+OP7_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+k AS ({" UNION ALL ".join(_found(i, "[A-Za-z0-9+/_-]+" if KINDS[i] == "weak_key" else rx) for i, rx in enumerate(_RX))}),
+e AS (SELECT doc_id, kind, unnest(ms) AS m, unnest(gaps[1:len(ms)]) AS gap, generate_subscripts(ms, 1) AS i FROM k),
+p AS (SELECT *, CAST(sum(length(gap) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS BIGINT) AS stop FROM e),
+s AS (
+  SELECT doc_id, kind, stop - length(m) AS start, stop, CASE kind WHEN 0 THEN 'S' WHEN 1 THEN 'I' WHEN 3 THEN 'I' WHEN 4 THEN 'S' WHEN 5 THEN 'E' END AS part FROM p
+  WHERE CASE kind WHEN 0 THEN length(regexp_extract(m, '{_RX[0]}', 2)) >= 8 WHEN 1 THEN length(m) >= 16 WHEN 4
+             THEN length(m) >= 20 AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]') ELSE true END),
+n AS (SELECT *, start AS place, false AS asks FROM s WHERE part <> 'E' UNION ALL SELECT *, stop + {SCOPE}, true FROM s WHERE kind >= 3),
+f AS (SELECT *, coalesce(max(CASE WHEN NOT asks AND part = 'I' THEN stop END) OVER w >= start - {SCOPE}, false) AS has_i,
+             coalesce(max(CASE WHEN NOT asks AND part = 'S' THEN stop END) OVER w >= start - {SCOPE}, false) AS has_s
+      FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY place, asks ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+a AS (SELECT doc_id, kind, start, stop FROM s WHERE kind < 3
+      UNION ALL SELECT doc_id, kind, start, stop FROM f WHERE asks AND (part = 'I' OR has_i) AND (part = 'S' OR has_s)),
+j AS (SELECT doc_id, kind, start, stop, (['{"', '".join(KINDS)}'])[kind + 1] || ':' || start || ':' || stop AS said FROM a),
+g AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+             string_agg(said, ',' ORDER BY start, kind, stop) FILTER (kind < 3) AS base, string_agg(said, ',' ORDER BY start, kind, stop) AS spans FROM j GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g ON d.doc_id = g.doc_id
+"""

@@ -1,7 +1,12 @@
 import hashlib
 import re
 
-from quillspark.llm.secrets import BASE, PARTS, SCOPE, WEAK, scan
+import duckdb
+import pandas as pd
+
+from quillspark.llm.secrets import OP7_SQL, op7_secrets, BASE, PARTS, SCOPE, WEAK, scan
+from tests.oracle import database
+from tests.oracle import rows as rows_of
 
 SCHEMA = "doc_id long, text string, kind string, start long, s string"
 RX = [("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)), ("access", re.compile("AKIA[A-Z0-9]+")), ("hex", re.compile("[0-9a-f]+"))]
@@ -92,3 +97,18 @@ def test_gaps_against_all_parts(spark):
             want.append((d, th, k, s, e))
     got = _linked(spark.createDataFrame(spans, "doc_id long, th long, kind int, start long, end long"), SCOPE).select("doc_id", "th", "kind", F.col("start"), "end")
     assert sorted(map(tuple, got.collect())) == want and 0 < len(want) < len(spans)
+
+
+def test_against_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    assert rows_of(op7_secrets(spark, sf).toPandas()) == rows_of(database(sf).execute(OP7_SQL).df())
+
+
+def test_parts_against_sql(spark):
+    key = "aB3" * 10
+    texts = [f"client_id=acct77 {key}", f"client_id=acct77 {'x' * 300} {key}", f"{key}\nhttps://host/x account_id: u12345", "https://host/x", f"é{'日' * 250} AKIA{'Z' * 16} {key}9", f"ASIA{'A' * 14} token = \"{'q' * 9}\" redis://r", "lower" * 9 + " tenant-id=abc", None, "", f"password: short Secret=longenough1 client_id=zz9", f"/{key}/+{key}-client_id='abc'"]
+    docs = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    con = duckdb.connect()
+    con.register("documents", docs)
+    got = scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas()
+    assert rows_of(got) == rows_of(con.execute(OP7_SQL).df()) and got["spans"].str.contains("weak").sum() >= 4
