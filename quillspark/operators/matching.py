@@ -145,7 +145,10 @@ def fuzzy_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matched_texts(c.where("role = 'user'"), c.where("role = 'assistant'"), "conv_id", 0.5)
 
 
-@query()
+_MARKS = "SELECT l_orderkey AS page, l_quantity AS x, l_tax * 100 AS y, l_returnflag AS f, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_tax * 100, l_returnflag) AS i FROM lineitem"
+
+
+@query(f"WITH RECURSIVE box AS ({_MARKS}), e AS (SELECT m.page, m.i AS a, n.i AS b, round(abs(m.x - n.x) + abs(m.y - n.y), 6) AS distance FROM box m JOIN box n ON m.page = n.page AND m.f = 'R' AND n.f <> 'R' WHERE abs(m.x - n.x) + abs(m.y - n.y) <= 10), r AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY distance, abs(a - b), a, b) AS k FROM e), w(page, k, sa, sb, a, b, distance, taken) AS (SELECT page, k, [a], [b], a, b, distance, true FROM r WHERE k = 1 UNION ALL SELECT r.page, r.k, CASE WHEN list_contains(sa, r.a) OR list_contains(sb, r.b) THEN sa ELSE list_append(sa, r.a) END, CASE WHEN list_contains(sa, r.a) OR list_contains(sb, r.b) THEN sb ELSE list_append(sb, r.b) END, r.a, r.b, r.distance, NOT (list_contains(sa, r.a) OR list_contains(sb, r.b)) FROM w JOIN r ON r.page = w.page AND r.k = w.k + 1) SELECT page, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, distance FROM w WHERE taken")
 def greedy_nn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Marks of a page (an order) matched to its nearest anchors within reach, one to one: an interval join on cells of
     the reach's width, then the greedy matching by distance, difference of positions, positions."""
@@ -160,7 +163,10 @@ def greedy_nn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return greedy(edges, ["page"], [F.col("distance"), F.abs(F.col("a") - F.col("b")), F.col("a"), F.col("b")])
 
 
-@query()
+_PAIRS = "list_distinct(list_transform(range(1, greatest(length({0}), 2)), lambda i: substring({0}, i, 2)))"
+
+
+@query(f"WITH a AS (SELECT conv_id, turn, text AS ask FROM conversations WHERE role = 'user'), l0 AS (SELECT conv_id, turn - 1 AS turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM conversations WHERE role = 'assistant'), p AS (SELECT conv_id, turn, pos, line, round(len(list_intersect({_PAIRS.format('ask')}, {_PAIRS.format('line')}))::DOUBLE / len({_PAIRS.format('line')}) + CASE WHEN contains(ask, line) THEN 0.45 ELSE 0.0 END, 9) AS score FROM a JOIN l0 USING (conv_id, turn) WHERE line <> ''), b AS (SELECT conv_id, turn, arg_max({{'pos': pos, 'line': line, 'score': score}}, (score, -pos)) AS x FROM p GROUP BY 1, 2) SELECT conv_id, turn, CAST(x.pos AS INTEGER) AS \"at\", x.line AS line, x.score AS score FROM b")
 def best_match_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each user's text, the assistant's line that answers it best: pairs of characters in common, and more if
     the one holds the other; ties to the first line."""
