@@ -2,12 +2,12 @@
 
 from quillspark.functions import nested, strings, text, values
 from quillspark.operators import aggregates, graph, matching, relational, windows
-from quillspark.plans import bids, checks, duplicates, evidence, extraction, pricing, requirements, reviews
+from quillspark.plans import bids, checks, duplicates, evidence, extraction, papers, pricing, requirements, reviews
 from quillspark.plans.registry import ORACLE_SQL, QUERIES
 from quillspark.sources import html, pdf, tables
 from quillspark.streaming import ingest, tasks
 
 FLAGSHIP = "dup_pairs"
-PARTS = (nested, strings, text, values, aggregates, graph, matching, relational, windows, duplicates, checks, evidence, extraction, requirements, reviews, bids, pricing, html, pdf, tables, ingest, tasks)
+PARTS = (nested, strings, text, values, aggregates, graph, matching, relational, windows, duplicates, checks, evidence, extraction, requirements, reviews, bids, pricing, papers, html, pdf, tables, ingest, tasks)
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "PARTS", "QUERIES"]
