@@ -9,11 +9,12 @@ from quillspark.plans.duplicates import _CLASSES, _UNITS, duplicate_classes, lin
 from quillspark.plans.registry import kept, query, table
 
 
-def spread_join(rows: DataFrame, ids: DataFrame, key: str, size: str, most: int = 512) -> DataFrame:
+def spread_join(rows: DataFrame, ids: DataFrame, key: str, size: str, most: int = 512, total: int | None = None) -> DataFrame:
     """The inner join of rows with ids by key (not null in ids), of which ids has one row each; its column `size` tells how
     many rows hold that key and does not come along. The keys that hold a `most`-th of all rows or more, `most` of
-    them at most, are broadcast, so their rows stay spread; all others are shuffled."""
-    total = ids.agg(F.sum(size)).first()[0] or 0
+    them at most, are broadcast, so their rows stay spread; all others are shuffled. `total` is the number of all rows
+    or more, if that is known."""
+    total = (ids.agg(F.sum(size)).first()[0] or 0) if total is None else total
     is_hot = F.col(size) * most >= F.lit(total)
     hot = F.broadcast(ids.where(is_hot).drop(size))
     rest = rows.join(hot.select(key), key, "left_anti").join(ids.where(~is_hot).drop(size), key)
@@ -31,20 +32,19 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     gives an empty result.
     """
     e = kept(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
+    state = lambda: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    now = state()
     for _ in range(most_rounds):
         around = e.union(e.select("v", "u"))
-        low = kept(around.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
-        far = spread_join(e.select(F.col("v").alias("c"), F.col("u").alias("w")), low.where("n > 0").withColumnRenamed("u", "c"), "c", "n").select(F.col("w").alias("u"), F.col("m").alias("v")).distinct()
-        far = kept(far)
-        low = kept(far.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
-        new = spread_join(far, low, "u", "n").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = kept(new.union(low.select("u", "m")).distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        low = around.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"), "n").where("n > 0")
+        far = kept(spread_join(e.select(F.col("v").alias("c"), F.col("u").alias("w")), low, "c", "n", total=now[0]).select(F.col("w").alias("u"), F.col("m").alias("v")).distinct())
+        low = far.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        new = spread_join(far, low, "u", "n", total=now[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e, before = kept(new.union(low.select("u", "m")).distinct()), now
+        now = state()
         if now == before:
             own = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(own)
-        before = now
     raise RuntimeError(f"components have not settled after {most_rounds} rounds")
 
 
