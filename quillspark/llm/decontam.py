@@ -34,9 +34,9 @@ def tokens(text: Column) -> Column:
 def _seeds(rows: DataFrame, keep: list[str], ladder) -> DataFrame:
     """rows: keep, w (token hashes). A row for each mask of the ladder and position: keep, p, h. w is read inside the
     loop that makes the rows, whatever of it is not kept is not copied."""
-    masks = [(f"{low}.{i}", mask) for low, _, of_length in ladder for i, mask in enumerate(of_length)]
+    masks = [(100 * low + i, mask) for low, _, of_length in ladder for i, mask in enumerate(of_length)]
     m = len(masks)
-    hashes = " ".join(f"when c % {m} = {i} and c div {m} + {mask[-1]} < size(w) then xxhash64('{name}', {', '.join(f'get(w, cast(c div {m} + {o} as int))' for o in mask)})" for i, (name, mask) in enumerate(masks))
+    hashes = " ".join(f"when c % {m} = {i} and c div {m} + {mask[-1]} < size(w) then xxhash64({name}, {', '.join(f'get(w, cast(c div {m} + {o} as int))' for o in mask)})" for i, (name, mask) in enumerate(masks))
     c = rows.where("size(w) > 0").selectExpr(*keep, *([] if "w" in keep else ["w"]), f"explode(sequence(0, {m} * size(w) - 1)) as c")
     return c.selectExpr(*keep, f"cast(c div {m} as int) as p", f"case {hashes} end as h").where("h is not null")
 
