@@ -131,22 +131,22 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     wanted = order.join(sizes, "k").select(F.col("next").alias("k"), F.col("k").alias("owner"), "need")
     repeated = not sizes.where("n > 1").isEmpty()
     nexts = base.groupBy("k").agg(F.min("text").alias("text")) if repeated else base
-    heads = nexts.join(wanted, "k").select(F.col("owner").alias("k"), F.expr("left(text, need)").alias("head"), F.xxhash64("text").alias("next_th"))
+    heads = nexts.join(wanted, "k").select(F.col("owner").alias("k"), F.col("k").alias("next"), F.expr("left(text, need)").alias("head"), F.xxhash64("text").alias("next_th"))
     pair = base.join(heads, "k").withColumn("n_chars", F.char_length("text").cast("long")).withColumn("q", F.floor(F.col("n_chars") / 4).cast("int"))
     pair = pair.withColumn("edited", F.expr("concat(left(text, cast(n_chars as int) - q), left(head, q))"))
     sha = F.sha2(F.col("edited"), 256)
-    carry = ["next_th", "n_chars", "size", "size_e", *[f"sha{i}" for i in range(4)]]
-    pair = pair.select("k", F.xxhash64("text").alias("th"), "next_th", "n_chars", *[F.conv(F.substring(sha, 16 * i + 1, 16), 16, -10).cast("long").alias(f"sha{i}") for i in range(4)], F.encode("text", "UTF-8").alias("t"), F.encode("edited", "UTF-8").alias("u"), F.octet_length(F.expr("left(text, cast(n_chars as int) - q)")).alias("same"))
+    carry = ["next", "next_th", "n_chars", "size", "size_e", *[f"sha{i}" for i in range(4)]]
+    pair = pair.select("k", F.xxhash64("text").alias("th"), "next", "next_th", "n_chars", *[F.conv(F.substring(sha, 16 * i + 1, 16), 16, -10).cast("long").alias(f"sha{i}") for i in range(4)], F.encode("text", "UTF-8").alias("t"), F.encode("edited", "UTF-8").alias("u"), F.octet_length(F.expr("left(text, cast(n_chars as int) - q)")).alias("same"))
     # anchors know no context: those within what stays of the text are the edited text's, too, so of that only the
     # rest is hashed, with the K - 1 bytes before it
     rest = f"greatest(same - {K - 1}, 0)"
     parts = f"explode(array(named_struct('own', true, 'b', t, 'base', 0, 'whole', octet_length(t)), named_struct('own', false, 'b', substring(u, {rest} + 1, octet_length(u)), 'base', {rest}, 'whole', octet_length(u)))) as x"
-    pair = pair.selectExpr("k", "th", "same", "next_th", "n_chars", *[f"sha{i}" for i in range(4)], "cast(octet_length(t) as bigint) as size", "cast(octet_length(u) as bigint) as size_e", parts)
+    pair = pair.selectExpr("k", "th", "same", "next", "next_th", "n_chars", *[f"sha{i}" for i in range(4)], "cast(octet_length(t) as bigint) as size", "cast(octet_length(u) as bigint) as size_e", parts)
     pair = pair.select("k", "th", "same", *carry, "x.*")
     places = _places(pair, ["k", "th", "own", "same", *carry]).withColumn("edit", F.expr(f"not own or p + {K} <= same"))
     one = cut(_sketched(places, ["k", "th"], carry))
     following = one.select(F.col("k").alias("next"), F.col("th").alias("next_th"), F.col("v").alias("f"), F.col("v_last").alias("f_last"), F.col("size").alias("size_f"))
-    out = one.join(order, "k").join(following, ["next", "next_th"])
+    out = one.join(following, ["next", "next_th"])
     if repeated:
         times = base.groupBy("k", F.xxhash64("text").alias("th")).agg(F.count("*").alias("copies"))
         out = copies(out.join(times, ["k", "th"]), "copies", "copy")
