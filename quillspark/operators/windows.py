@@ -15,10 +15,14 @@ def islands(df: DataFrame, keys: list[str], order: list[str], starts) -> DataFra
 
 
 def coalesced(ranges: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    """Merges ranges that overlap or are adjacent (start <= largest end so far + 1)."""
-    before = Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
-    r = ranges.withColumn("_m", F.max(end).over(before))
-    r = islands(r, keys, [start, end], F.col(start) > F.col("_m") + 1)
+    """Merges ranges that overlap or are adjacent (start <= largest end so far + 1). Nulls come last and join what is open; a
+    reversed range that nothing before reaches stands alone, each copy of it too. Equal ranges come in the order of the largest
+    end before them, so that of copies the one that opens a merged range comes first."""
+    order = [F.asc_nulls_last(start), F.asc_nulls_last(end)]
+    of = Window.partitionBy(*keys)
+    r = ranges.withColumn("_m", F.max(end).over(of.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)))
+    r = r.withColumn("_s", F.coalesce(F.col(start) > F.col("_m") + 1, F.col("_m").isNull()).cast("int"))
+    r = r.withColumn("island", F.sum("_s").over(of.orderBy(*order, F.asc_nulls_first("_m")).rowsBetween(Window.unboundedPreceding, 0)))
     return r.groupBy(*keys, "island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("island")
 
 
